@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, sentencepiece_fst, token_counts, toxicity
+from . import language_id, near_dedup, sentencepiece_fst, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_token_counts": token_counts.op3_token_counts,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": language_id.op9_language_id,
         "op10_sentencepiece": sentencepiece_fst.op10_sentencepiece,
