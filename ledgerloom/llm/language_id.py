@@ -35,7 +35,8 @@ class Model:
         """One row for each row of w; rows without words have the prior alone."""
         ids, off = ngrams.features(w.vocab, LO, HI, BUCKETS)
         n = w.sums(np.diff(off).astype(np.float64))
-        z = w.sums(ngrams.word_sums(ids, off, self.weights)) / np.maximum(n, 1)[:, None] * SCALE + self.bias
+        logits = ngrams.word_sums(ids, off, self.weights)
+        z = np.stack([w.sums(logits[:, c]) for c in range(logits.shape[1])], 1) / np.maximum(n, 1)[:, None] * SCALE + self.bias
         z = z / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
@@ -82,17 +83,18 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float
     if not names:
         return Model([""], np.zeros((BUCKETS, 1)), np.zeros(1))
     rng = np.random.default_rng(seed)
-    w = words(pa.array(texts, pa.string()), lower=True)
-    ids, off = ngrams.features(w.vocab, LO, HI, BUCKETS)
     y = np.array([names.index(x) for x in labels])
     bags = []
-    for i, j in zip(w.offsets, w.offsets[1:]):
-        code, times = np.unique(w.codes[i:j], return_counts=True)
-        m = off[code + 1] - off[code]
-        at = np.arange(int(m.sum())) + np.repeat(off[code] - (np.cumsum(m) - m), m)
-        b = np.bincount(ids[at], weights=np.repeat(times, m)) if len(at) else np.zeros(0)
-        k = np.flatnonzero(b)
-        bags.append((k, b[k] / max(1, b.sum()) * idf[k] * SCALE))
+    for run in range(0, len(texts), 100):
+        w = words(pa.array(texts[run : run + 100], pa.string()), lower=True)
+        ids, off = ngrams.features(w.vocab, LO, HI, BUCKETS)
+        for i, j in zip(w.offsets, w.offsets[1:]):
+            code, times = np.unique(w.codes[i:j], return_counts=True)
+            m = off[code + 1] - off[code]
+            at = np.arange(int(m.sum())) + np.repeat(off[code] - (np.cumsum(m) - m), m)
+            b = np.bincount(ids[at], weights=np.repeat(times, m)) if len(at) else np.zeros(0)
+            k = np.flatnonzero(b)
+            bags.append((k.astype(np.int32), (b[k] / max(1, b.sum()) * idf[k] * SCALE).astype(np.float32)))
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
     c = len(names)
@@ -105,7 +107,7 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float
     for _ in range(epochs):
         for r in rng.permutation(fit):
             k, x = bags[r]
-            k, x = np.append(k, BUCKETS), np.append(x, 1.0)
+            k, x = np.append(k, BUCKETS), np.append(x, np.float32(1))
             wk = weights(k)
             s = x @ wk
             p = np.exp(s - s.max())
@@ -130,7 +132,7 @@ def train(texts: list[str], labels: list[str], idf: np.ndarray, *, alpha: float
     return model
 
 
-def fit(docs: DataFrame, *, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **kw) -> Model:
+def fit(docs: DataFrame, *, max_train: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", **kw) -> Model:
     """Document frequencies over all texts; weights from at most max_train whole texts of those labelled, by least hash of id.
 
     Rows with a null id, text or label don't train; rows that repeat an id and label are one.

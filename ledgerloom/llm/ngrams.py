@@ -4,47 +4,58 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import mix
+_STEP = np.uint32(0x9E3779B1)
 
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Finalizer of a 32-bit hash, in place."""
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def features(vocab: pa.StringArray, lo: int, hi: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of the n-grams, lo to hi characters long, of each word between '<' and '>', and offsets by word.
 
-    A word shorter than lo - 2 characters has no n-gram of its own and gives one for the whole marked word.
+    A word shorter than lo - 2 characters has no n-gram of its own and gives one for the whole marked word. buckets: a power of two.
     """
-    text = "<" + "><".join(vocab.to_pylist()) + ">" if len(vocab) else ""
-    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.array([len(x) for x in vocab.to_pylist()], np.int64) + 2
-    start = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(size)), size)
-    left = np.repeat(start + size, size) - np.arange(len(cp))  # characters up to the word's end
-    ids, owner = [], []
-    h = np.zeros(len(cp), np.uint64)
+    if not len(vocab):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    text = "<" + "><".join(vocab.to_pylist()) + ">"
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = pc.utf8_length(vocab).to_numpy(zero_copy_only=False).astype(np.int32) + 2
+    start = np.cumsum(size, dtype=np.int64) - size
+    word = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    left = np.repeat((start + size).astype(np.int32), size) - np.arange(len(cp), dtype=np.int32)  # characters up to the word's end
+    per = np.maximum(size[:, None] - np.arange(lo, hi + 1)[None, :] + 1, 0)
+    short = size < lo
+    off = np.concatenate([[0], np.cumsum(per.sum(1) + short)])
+    out = np.empty(int(off[-1]), np.int32)
+    place = off[:-1].copy()  # where each word's next n-grams go
+    h = np.zeros(len(cp), np.uint32)
     for n in range(1, hi + 1):
         m = len(cp) - n + 1
         if m <= 0:
             break
-        h = h[:m] * _STEP + cp[n - 1 :] + np.uint64(1)
-        if n < lo:
-            ok = (left[:m] == n) & (size[word[:m]] == n)
-        else:
-            ok = left[:m] >= n
-        at = np.flatnonzero(ok)
-        ids.append((mix(h[at] + np.uint64(n)) % np.uint64(buckets)).astype(np.int64))
-        owner.append(word[at])
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    ids, owner = np.concatenate(ids), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+        h = h[:m] * _STEP
+        h += cp[n - 1 :]
+        h += np.uint32(1)
+        at = np.flatnonzero((left[:m] == n) & (size[word[:m]] == n)) if n < lo else np.flatnonzero(left[:m] >= n)
+        own = word[at]
+        out[place[own] + (at - start[own])] = (_mix(h[at] + np.uint32(n)) & np.uint32(buckets - 1)).astype(np.int32)
+        place += per[:, n - lo] if n >= lo else (short & (size == n))
+    return out, off
 
 
 def word_sums(ids: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Per word, the sum of its n-grams' weights (one row per bucket)."""
-    if not len(ids):
-        return np.zeros((len(offsets) - 1, *weights.shape[1:]), weights.dtype)
-    c = np.concatenate([np.zeros((1, *weights.shape[1:])), np.cumsum(weights[ids], axis=0, dtype=np.float64)])
-    return c[offsets[1:]] - c[offsets[:-1]]
+    """Per word, each of which has an n-gram, the sum of its n-grams' weights (one row per bucket)."""
+    if len(offsets) < 2:
+        return np.zeros((0, *weights.shape[1:]))
+    if weights.ndim == 1:
+        return np.add.reduceat(weights[ids], offsets[:-1])
+    return np.stack([np.add.reduceat(np.ascontiguousarray(weights[:, c])[ids], offsets[:-1]) for c in range(weights.shape[1])], 1)

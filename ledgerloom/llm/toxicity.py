@@ -57,37 +57,45 @@ class Model:
         return np.where(n > 0, p, 0.0)
 
 
-def _bags(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each row's distinct n-grams and their shares."""
-    ids, off = ngrams.features(w.vocab, LO, HI, BUCKETS)
-    row, codes, weights = damped(w)
-    cut, out = np.searchsorted(row, np.arange(len(w.counts) + 1)), []
-    for i, j in zip(cut, cut[1:]):
-        code = codes[i:j]
-        size = off[code + 1] - off[code]
-        at = np.repeat(off[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        b = np.bincount(ids[at], weights=np.repeat(weights[i:j], size)) if len(at) else np.zeros(0)
-        k = np.flatnonzero(b)
-        out.append((k, (b[k] / (b.sum() + PRIOR)).astype(np.float32)))
-    return out
-
-
-def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 2.0, min_df: int = 10, seed: int = 7) -> Model:
-    """Fit on four fifths; the threshold is the middle of the gap, or the best F1, on the rest. One class or none: nothing is toxic."""
+def _bags(texts: list[str], min_df: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct n-grams that min_df texts hold, and their shares. Runs of texts are read twice, so that little is held at once."""
+
+    def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(texts), 100):
+            w = bags_of_words(pa.array(texts[at : at + 100], pa.string()))
+            ids, off = ngrams.features(w.vocab, LO, HI, BUCKETS)
+            row, codes, weights = damped(w)
+            cut = np.searchsorted(row, np.arange(len(w.counts) + 1))
+            for i, j in zip(cut, cut[1:]):
+                code = codes[i:j]
+                size = off[code + 1] - off[code]
+                at_ = np.repeat(off[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                b = np.bincount(ids[at_], weights=np.repeat(weights[i:j], size)) if len(at_) else np.zeros(0)
+                k = np.flatnonzero(b)
+                yield k, b[k] / (b.sum() + PRIOR)
+
+    df = np.zeros(BUCKETS, np.int64)
+    for k, _ in runs():
+        df[k] += 1
+    known = df >= min_df
+    return [(k[known[k]].astype(np.int32), v[known[k]].astype(np.float32)) for k, v in runs()]
+
+
+def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 2.0, min_df: int = 10, ratio: float = 1.0, seed: int = 7) -> Model:
+    """Fit on four fifths; the threshold has the best F1 on the rest, where a clean text counts ratio times. One class or none: nothing is toxic."""
     y = np.asarray(labels).astype(int)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(BUCKETS), -50.0, 0.5)
     rng = np.random.default_rng(seed)
-    bags = _bags(bags_of_words(pa.array(texts, pa.string())))
     # an n-gram of few training texts would only memorise them; its vector stays zero
-    df = np.zeros(BUCKETS, np.int64)
-    for k, _ in bags:
-        df[k] += 1
-    known = df >= min(min_df, max(2, len(y) // 100))
-    bags = [(k[known[k]], v[known[k]]) for k, v in bags]
+    bags = _bags(texts, min(min_df, max(2, len(y) // 100)))
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
-    emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32) * known[:, None]
+    emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
+    seen = np.zeros((BUCKETS, 1), np.float32)
+    for k, _ in bags:
+        seen[k] = 1
+    emb *= seen
     out, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
     share = np.bincount(y[fit], minlength=2) / len(fit)
@@ -127,7 +135,8 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
         p = model.probability(bags_of_words(pa.array([texts[i] for i in held], pa.string())))
         t = y[held]
         cand = np.unique(p)
-        hits = [(2 * ((p >= c) & (t == 1)).sum() / max(1, (p >= c).sum() + (t == 1).sum()), c) for c in cand[:: max(1, len(cand) // 2000)]]
+        each = np.where(t == 1, 1.0, ratio)
+        hits = [(2 * ((p >= c) & (t == 1)).sum() / max(1.0, each[p >= c].sum() + (t == 1).sum()), c) for c in cand]
         best, at = max(hits)
         below = p[(t == 0) & (p < at)]
         if best > 0:
@@ -138,19 +147,22 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> Model:
     """Train on at most max_train labelled texts of each class, those whose ids have the least hash; each text is whole.
 
     Rows with a null id, text or label don't count; of an id that is labelled more than once, the highest label does.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
+    size = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    seen = {y: min(n, max_train) for y, n in size.items()}
+    ratio = (size[0] / seen[0]) / (size[1] / seen[1]) if size.get(0) and size.get(1) else 1.0
     some = None
     for y in (0, 1):
         part = lab.filter(F.col("y") == y).orderBy(uniform(F.col("id")), "id").limit(max_train)
         some = part if some is None else some.unionByName(part)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(some), "id")
     rows = picked.select("id", "text", "y").toPandas().drop_duplicates("id").sort_values("id")
-    return train(rows["text"].tolist(), rows["y"].to_numpy(), **kw)
+    return train(rows["text"].tolist(), rows["y"].to_numpy(), ratio=ratio, **kw)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
