@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, sentencepiece_fst, token_counts, toxicity
+from . import language_id, mixing, near_dedup, sentencepiece_fst, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bin_packing": sharding.op2_bin_packing,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op6_mixing": mixing.op6_mixing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": language_id.op9_language_id,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": mixing.mixing_sql()}
