@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, sentencepiece_fst, sharding, suffix_dedup, token_counts, toxicity
+from . import flac, hnsw, language_id, mixing, near_dedup, sentencepiece_fst, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_flac": flac.op1_flac,
         "op2_bin_packing": sharding.op2_bin_packing,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_embedding_dedup": hnsw.op5_embedding_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.mixing_sql()}
+    return {"op1_flac": flac.SQL, "op6_mixing": mixing.mixing_sql()}
