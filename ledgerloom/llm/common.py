@@ -96,10 +96,11 @@ def words(col: pa.Array, lower: bool = False) -> Words:
     col = as_string(col)
     if lower:
         col = pc.utf8_lower(col)
-    lists = pc.utf8_split_whitespace(col)
+    # trimmed first: the split keeps white space that ends the last text of a buffer in its last word
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(col))
     w = of_lists(lists)
     if len(w.vocab) and pc.any(pc.equal(w.vocab, "")).as_py():
-        # leading or trailing white space gives empty strings: drop them
+        # a text without words gives an empty string: drop it
         keep = pc.not_equal(w.vocab, "").to_numpy(zero_copy_only=False)
         ok = keep[w.codes]
         kept = np.concatenate([[0], np.cumsum(ok)])
