@@ -447,7 +447,8 @@ def _put_subframe(w: _Writer, x: np.ndarray, bits: int) -> None:
 
 def encode(pcm: np.ndarray, *, rate: int = 16000, bits: int = 16, block: int = 256) -> bytes:
     """A stream of the samples (n, channels), for fixtures and queries: fixed and linear predictors, partitions, stereo modes."""
-    x = np.asarray(pcm, np.int64).reshape(len(pcm), -1)
+    x = np.asarray(pcm, np.int64)
+    x = x[:, None] if x.ndim == 1 else x
     n, channels = x.shape
     width = (bits + 7) // 8
     raw = x.astype("<i4").view(np.uint8).reshape(n, channels, 4)[:, :, :width].tobytes() if n else b""

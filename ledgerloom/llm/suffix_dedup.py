@@ -252,8 +252,9 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs, all columns, without the words of their spans that aren't original; of a text that is copied whole nothing
     is left, and its row goes. count_col, where there is one, becomes the characters left. Rows with a null id or text stay as they are."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **kw).filter("not original")
-    lists = spans.groupBy(F.col("id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    joined = docs.join(lists, docs[id_col] == lists["_cut_id"], "left").drop("_cut_id")
+    own, cut = _unused("_cut_id", docs), _unused("_cut", docs)
+    lists = spans.groupBy(F.col("id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    joined = docs.join(lists, docs[id_col] == lists[own], "left").drop(own)
     where = docs.columns.index(text_col)
     counts = docs.columns.index(count_col) if count_col in docs.columns else None
 
@@ -280,6 +281,14 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(run, T.StructType(docs.schema.fields))
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """name, made longer until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _without(text: str, parts: list[str], spans: list[tuple[int, int]]) -> str | None:
     """text without the spans of its words and the white space that follows each; None where no word is left."""
     out, k, at, kept = [], 0, 0, False
