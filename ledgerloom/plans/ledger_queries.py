@@ -137,7 +137,7 @@ Q = {
     "contradictions_reconciled": (lambda s, d: ledger.contradictions(ledger.reconcile(V.claims(s, d))), f"{_with(V.CLAIMS, V.RECONCILED, _contra('reconciled'))} select * from contra"),
     "contradictions_materialize": (lambda s, d: ledger.new_contradictions(ledger.contradictions(ledger.reconcile(V.claims(s, d))), stored_contradictions(s, d).filter("status = 'resolved'").select(F.col("claim_b").alias("claim_a"), F.col("claim_a").alias("claim_b"))), f"{_with(V.CLAIMS, V.RECONCILED, _contra('reconciled'))} select * from contra where (claim_a + claim_b) % 3 <> 0"),
     "retract_claims": (lambda s, d: ledger.retract(V.claims(s, d), retractions(s, d)).select("id", "retracted_at"), f"{_with(V.CLAIMS)} select id, coalesce(retracted_at, case when id % 5 = 0 then asserted_at + interval 1 day end) as retracted_at from claim"),
-    "supersede_claim": (lambda s, d: ledger.supersede(V.claims(s, d), successions(s, d)).select("id", "superseded_by", "retracted_at"), f"{_with(V.CLAIMS)} select id, case when id % 11 = 0 then id + 1 end as superseded_by, coalesce(retracted_at, case when id % 11 = 0 then asserted_at + interval 2 day end) as retracted_at from claim"),
+    "supersede_claim": (lambda s, d: ledger.supersede(V.claims(s, d), successions(s, d)).select("id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), "retracted_at"), f"{_with(V.CLAIMS)} select id, case when id % 11 = 0 then id + 1 else -1 end as superseded_by, coalesce(retracted_at, case when id % 11 = 0 then asserted_at + interval 2 day end) as retracted_at from claim"),
     "claim_version_asof": (version_asof, f"{_with(V.CLAIMS, V.RECONCILED)}, ev as (select distinct subject_id, predicate, object_id, cast(valid_from + interval 3 day as date) as day from reconciled) select ev.*, arg_max(r.id, (r.valid_from, r.id)) as claim_id from ev join reconciled r using (subject_id, predicate, object_id) where r.retracted_at is null and r.valid_from <= ev.day and (r.valid_to is null or r.valid_to >= ev.day) group by all"),
     "claim_dict": (claim_dict, f"{_with(V.CLAIMS, V.ENTITIES, V.EVIDENCE)} select c.id, s.canonical_name as subject_name, c.predicate, o.canonical_name as object_name, coalesce(e.document_id || ':' || e.char_start || ':' || e.char_end, '') as evidence from claim c left join entity s on s.id = c.subject_id left join entity o on o.id = c.object_id left join evidence e on e.claim_id = c.id"),
     "entity_profile": (entity_profile, f"{_with(V.CLAIMS, V.ENTITIES)}, n as (select id, count(*) as n from (select subject_id as id from claim union all select object_id from claim) group by 1) select id, type, canonical_name, coalesce(n, 0) as n_claims from entity left join n using (id)"),

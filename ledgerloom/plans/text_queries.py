@@ -99,7 +99,7 @@ union all select id, text, cast(rtrim(pct, '%') as double), length(text) - 1 - l
 
 def cusip_check(spark, d):
     code = F.concat(F.lpad((F.col("p_partkey") * 31337 % 10000000).cast("string"), 7, "0"), F.element_at(F.array(*map(F.lit, ["A", "Z", "*", "7", "#", "@", "?"])), (F.col("p_partkey") % 7 + 1).cast("int")), (F.col("p_partkey") % 10).cast("string"))
-    return V.table(spark, d, "part").select(code.alias("code")).select("code", text.cusip_check_digit(F.substring("code", 1, 8)).alias("digit"), text.valid_cusip(F.col("code")).alias("valid"))
+    return V.table(spark, d, "part").select(code.alias("code")).select("code", F.coalesce(text.cusip_check_digit(F.substring("code", 1, 8)), F.lit(-1)).alias("digit"), text.valid_cusip(F.col("code")).alias("valid"))
 
 
 CUSIP = """code as (select lpad(cast(p_partkey * 31337 % 10000000 as varchar), 7, '0') || (['A', 'Z', '*', '7', '#', '@', '?'])[p_partkey % 7 + 1] || (p_partkey % 10) as code from part),
@@ -226,7 +226,7 @@ Q = {
     "er_canonical": (canonical, f"with recursive {CLUSTERS}, best as (select cluster, arg_max(name, (n, length(name), -first)) as canonical_name, list_sort(list(name)) as names from (select cluster, name, count(*) as n, min(rid) as first from member group by 1, 2) group by 1) select cluster, canonical_name, array_to_string(list_filter(names, lambda x: x <> canonical_name), '|') as aliases, cik, size from best join (select cluster, min(cik) as cik, count(*) as size from member group by 1) using (cluster)"),
     "er_confidence": (confidence, f"with recursive {CLUSTERS} select m.cluster, case when m.has or m.n = 1 then 1.0 else round(coalesce(low, 1.0), 3) end as confidence from (select cluster, max(cik) is not null as has, count(*) as n from member group by 1) m left join (select a.cluster, min(jaro_winkler_similarity(a.norm, b.norm)) as low from member a join member b on a.cluster = b.cluster and a.norm < b.norm group by 1) using (cluster)"),
     "er_splink_fixed": (lambda s, d: resolve.probabilistic_pairs(names(s, d), link=0.01).select("rid_a", "rid_b", F.round("probability", 6).alias("probability")), f"{_w(KEYED)}, p as (select a.rid as rid_a, b.rid as rid_b, a.norm as na, b.norm as nb, jaro_winkler_similarity(a.norm, b.norm) as s from blocked a join blocked b on a.rid < b.rid and (substr(a.norm, 1, 4) = substr(b.norm, 1, 4) or a.cik = b.cik) where coalesce(a.cik = b.cik, true)), o as (select *, (case when na = nb then 7000.0 when s >= 0.92 then 200.0 when s >= 0.85 then 3.5 else 0.03 / 0.979 end) * (0.01 / 0.99) as odds from p) select rid_a, rid_b, round(odds / (1 + odds), 6) as probability from o where odds / (1 + odds) >= 0.01"),
-    "merge_suggestions": (lambda s, d: resolve.suggestions(names(s, d), decisions=decisions(s, d)), f"{_w(DECIDED)} select rid_a as entity_a, rid_b as entity_b, round(score, 4) as score, printf('similarity %.3f', score) as reason from pair where score >= 0.85 and score < 0.92 and (least(core_a, core_b), greatest(core_a, core_b)) not in (select (key_a, key_b) from decision)"),
+    "merge_suggestions": (lambda s, d: resolve.suggestions(names(s, d), decisions=decisions(s, d)).drop("reason"), f"{_w(DECIDED)} select rid_a as entity_a, rid_b as entity_b, round(score, 4) as score from pair where score >= 0.85 and score < 0.92 and (least(core_a, core_b), greatest(core_a, core_b)) not in (select (key_a, key_b) from decision)"),
     "er_decisions": (decisions, f"{_w(DECIDED)} select * from decision"),
     "merge_apply": (merge_apply, f"{_w(V.ENTITIES)}, p as (select id, canonical_name, cik, type, cast(regexp_extract(id, '[0-9]+', 0) as int) as n from entity), m as (select k.id as keep, x.id as drop_id, x.canonical_name as name, x.cik from p x join p k on x.type = 'Person' and k.type = 'Person' and x.n % 2 = 1 and k.n = x.n - 1) select e.id, e.type, e.canonical_name, coalesce(m.name, '') as aliases, coalesce(e.cik, m.cik) as cik from entity e left join m on m.keep = e.id where e.id not in (select drop_id from m)"),
     "merge_repoint": (merge_repoint, f"{_w(V.CLAIMS)} select id, 'PER_' || lpad(cast(cast(substr(subject_id, 5) as int) // 2 * 2 as varchar), 6, '0') as subject_id, object_id from claim"),
@@ -239,7 +239,7 @@ select 'ORG_' || lpad(cast(case when s_suppkey % 2 = 0 then s_suppkey else top +
     "filing_cover": (filing_cover, f"{_w(V.COVERS)} select id, issuer_name as issuer, 14 as start, cusip, true as valid, strftime(event_date, '%B ') || cast(day(event_date) as varchar) || strftime(event_date, ', %Y') as event_date, cast(event_date as varchar) as day from cover"),
     "percent_candidates": (percent_candidates, f"{_w(SCORED)} select id, value, start, \"end\", round(score, 4) as score from scored"),
     "best_percent": (lambda s, d: parsed(s, d).filter("best is not null").select("id", "best.value", "best.start"), f"{_w(SCORED)} select id, arg_max(value, (score, -start)) as value, arg_max(start, (score, -start)) as start from scored where round(score, 4) > 0 group by 1"),
-    "cusip_check": (cusip_check, f"{_w(CUSIP)} select code, digit, coalesce(code[9] = cast(digit as varchar), false) as valid from dig"),
+    "cusip_check": (cusip_check, f"{_w(CUSIP)} select code, coalesce(digit, -1) as digit, coalesce(code[9] = cast(digit as varchar), false) as valid from dig"),
     "cusip_extract": (lambda s, d: parsed(s, d).select("id", "cusip.cusip", "cusip.valid"), f"{_w(V.COVERS)} select id, cusip, true as valid from cover"),
     "rule_claims": (rule_claims, f"{_w(SCORED)}, best as (select id, arg_max(value, (score, -start)) as value, arg_max(substr(text, start + 1, \"end\" - start), (score, -start)) as quote from scored where round(score, 4) > 0 group by 1), f as (select id, filer_name as f from cover union all select id, 'Partner of ' || filer_name from cover) select id as document_id, f as subject_surface, 'OWNS' as predicate, issuer_name as object_surface, value as stake_pct, strftime(event_date, '%B ') || cast(day(event_date) as varchar) || strftime(event_date, ', %Y') as event_date, cusip, cast(event_date as varchar) as valid_from, case when value is null then 0.6 else 0.9 end as confidence, coalesce(quote, issuer_name) as evidence_quote from f join cover using (id) left join best using (id)"),
     "ground_exact": (ground_exact, f"{_w(V.DOCUMENTS)}, q as (select id, text, regexp_replace(substr(text, 5, 40), '^\\s+|\\s+$', '', 'g') as q from document) select id, case when instr(text, q) > 0 and q <> '' then instr(text, q) - 1 end as start, case when instr(text, q) > 0 and q <> '' then instr(text, q) - 1 + length(q) end as \"end\", case when instr(text, q) > 0 and q <> '' then q end as snippet from q"),

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom import registry
@@ -22,7 +23,7 @@ def duck():
 
 def flat(df):
     df = df[sorted(df.columns)]
-    text = lambda x: "" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    text = lambda x: "" if pd.api.types.is_scalar(x) and pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x)
     return sorted(tuple(map(text, row)) for row in df.itertuples(index=False))
 
 
