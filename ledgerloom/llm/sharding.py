@@ -176,6 +176,6 @@ def assign(groups: DataFrame, *, group_col: str = "group", size_col: str = "size
 def op2_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents into shards of CAPACITY bytes; copies of one text are a group, named by its least doc_id, and stay together."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("h"), F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("bytes"))
-    groups = docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_docs"))
+    groups = materialize(docs.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_docs")))
     shards = assign(groups, group_col="doc_id", size_col="bytes")
     return shards.join(groups.select("doc_id", "n_docs"), "doc_id")
