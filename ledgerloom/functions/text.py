@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SUFFIX_WORDS = "ag and capital co company corp corporation fund gmbh group holdings inc incorporated limited llc llp lp ltd management nv partners plc sa the trust".split()
 ORG_MARKS = "capital company corp fund group holdings inc l.p. llc lp ltd management partners plc trust".split()
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
-LONG_DATE = "(?:" + "|".join(MONTHS) + r")\s+\d{1,2},\s+\d{4}"
+LONG_DATE = "(?:" + "|".join(MONTHS) + r")\s+[0-9]{1,2},\s+[0-9]{4}"
 PERCENT = r"[0-9]{1,3}(?:[.][0-9]{1,3})?\s*%"
 
 
@@ -130,7 +130,7 @@ def percent_candidates(text: Column) -> Column:
         value = F.regexp_extract(s["surface"], r"([0-9.]+)", 1).cast("double")
         score = (
             F.when(around.rlike(POSITIVE), 1.0).otherwise(0.0) - F.when(around.rlike(NEGATIVE), 1.0).otherwise(0.0) + F.when(F.exists(labels, lambda p: F.abs(s["start"] - p) <= 400), 0.8).otherwise(0.0)
-            + F.when(blank & after.rlike(r"^\s*(\(\d+\))?\s*$"), 0.7).otherwise(0.0) - F.when((value > 100) | (value == 0), 1.0).otherwise(0.0)
+            + F.when(blank & after.rlike(r"^\s*(?:[(][0-9]+[)]\s*)?$"), 0.7).otherwise(0.0) - F.when((value > 100) | (value == 0), 1.0).otherwise(0.0)
         )
         return F.struct(value.alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.round(score, 4).alias("score"))
     return F.transform(spans(text, PERCENT), scored)

@@ -31,7 +31,7 @@ def valid_on(day) -> Column:
     return (F.col("valid_from").isNull() | (F.col("valid_from") <= d)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= d))
 
 
-def claims_asof(claims: DataFrame, *, as_of=None, on=None, subject: str | None = None, predicate: str | None = None, obj: str | None = None) -> DataFrame:
+def claims_asof(claims: DataFrame, *, as_of=None, on=None, obj: str | None = None, predicate: str | None = None, subject: str | None = None) -> DataFrame:
     out = claims.filter(believed(as_of))
     if on is not None:
         out = out.filter(valid_on(on))
