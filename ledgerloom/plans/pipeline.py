@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, graph, ingest, ledger, resolve, vectors
+from ..operators import extract, graph, ledger, resolve, vectors
 from ..operators.components import cut
 
 LOG = "stage string, status string, counts map<string,long>, duration_ms long, error string"
@@ -23,8 +23,8 @@ def record(log: list, stage: str, run: Callable[[], dict[str, int]]) -> None:
     log.append((stage, status, {k: int(v) for k, v in counts.items()}, int((time.monotonic() - began) * 1000), error))
 
 
-def run_pipeline(spark: SparkSession, documents: DataFrame, claims: DataFrame, entities: DataFrame, stored: DataFrame, *, pack: str = "all", on: str) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(log, results). documents: (id, text, doc_type, meta with filers and subject_companies); pack: a for filings, b for works, or all."""
+def run_pipeline(spark: SparkSession, documents: DataFrame, claims: DataFrame, entities: DataFrame, stored: DataFrame, *, works: DataFrame | None = None, pack: str = "all", on: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(log, results). documents: (id, text, doc_type, meta with filers and subject_companies); works: as readers.works gives them; pack: a for filings, b for works, or all."""
     log: list = []
     out: dict[str, DataFrame] = {}
 
@@ -45,8 +45,8 @@ def run_pipeline(spark: SparkSession, documents: DataFrame, claims: DataFrame, e
 
         record(log, "resolve", resolution)
         record(log, "claims", lambda: keep("extracted", extract.grounded(extract.rule_claims(extract.parse_filing(filings)), filings)))
-    if pack in ("b", "all"):
-        record(log, "science", lambda: keep("works", ingest.unprocessed(documents, spark.createDataFrame([], "document_id long"), doc_type="work")))
+    if pack in ("b", "all") and works is not None:
+        record(log, "science", lambda: keep("science", extract.work_claims(extract.render_works(works))))
     record(log, "supersede", lambda: keep("claims", ledger.reconcile(claims)))
     record(log, "contradictions", lambda: keep("contradictions", ledger.new_contradictions(ledger.contradictions(out["claims"]), stored)))
     record(log, "vectors", lambda: keep("vectors", vectors.build_entity_vectors(entities)))
