@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,39 +124,61 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
 
 def _greedy(pairs: list[tuple], m: float) -> dict:
-    """Communities of one component: the merge with the greatest gain in modularity, the least pair of equals, until none gains."""
-    links: dict = defaultdict(lambda: defaultdict(float))
-    weight: dict = defaultdict(float)
-    for a, b in pairs:
-        if a != b:
-            links[a][b] += 1
-            links[b][a] += 1
-            weight[a] += 1
-            weight[b] += 1
-        else:
-            weight[a] += 2
-            links[a]
-    of = {v: v for v in links}
-    while True:
-        best, pick = 1e-12, None
-        for a in sorted(links):
-            for b, w in links[a].items():
-                if a < b:
-                    gain = w / m - weight[a] * weight[b] / (2 * m * m)
-                    if gain > best + 1e-15 or (pick and abs(gain - best) <= 1e-15 and (a, b) < pick):
-                        best, pick = gain, (a, b)
-        if pick is None:
-            return of
-        a, b = pick
-        for c, w in links.pop(b).items():
-            links[c].pop(b, None)
-            if c != a:
-                links[a][c] += w
-                links[c][a] += w
-        weight[a] += weight.pop(b)
-        for v, c in of.items():
-            if c == b:
-                of[v] = a
+    """Communities of one component: the merge with the greatest gain in modularity, the least pair of equals, until none gains.
+
+    Gains are whole numbers, 2 m² times the modularity's. The heap has for each community the best pair of its links; a merge enters the new
+    one's alone, as it covers all pairs that changed. An entry whose other end has changed since was a bound at least, and is taken anew.
+    """
+    names = sorted({v for p in pairs for v in p})
+    index = {v: i for i, v in enumerate(names)}
+    a, b = (np.fromiter((index[p[k]] for p in pairs), np.int64, len(pairs)) for k in (0, 1))
+    n, twice = len(names), 2 * int(m)
+    weight = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    apart = a != b
+    ends, others = np.concatenate([a[apart], b[apart]]), np.concatenate([b[apart], a[apart]])
+    order = np.lexsort((others, ends))
+    cuts = np.searchsorted(ends[order], np.arange(n + 1))
+    links = [(others[order[i:j]], np.ones(j - i, np.int64)) for i, j in zip(cuts, cuts[1:])]
+    # a community is named by its least member; of: each node's community; changed: how often each has grown, -1 once it is in another
+    of, members, changed = np.arange(n), [[i] for i in range(n)], np.zeros(n, np.int64)
+    heap: list[tuple] = []
+
+    def enter(x: int) -> None:
+        near, w = links[x]
+        near = of[near]
+        if len(near):
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+            near, w = near[first], np.add.reduceat(w[order], first)
+            near, w = near[near != x], w[near != x]
+        links[x] = near, w
+        if len(near):
+            gain = twice * w - weight[x] * weight[near]
+            k = int(np.argmax(gain))  # near ascends: the first of equals is the least pair
+            if gain[k] > 0:
+                y = int(near[k])
+                heapq.heappush(heap, (-int(gain[k]), min(x, y), max(x, y), x, int(changed[x]), int(changed[y])))
+
+    for x in range(n):
+        enter(x)
+    while heap:
+        _, x, y, row, was, other = heapq.heappop(heap)
+        if changed[row] != was:
+            continue
+        if changed[x + y - row] != other:
+            enter(row)
+            continue
+        links[x] = tuple(map(np.concatenate, zip(links[x], links[y])))
+        links[y] = None
+        weight[x] += weight[y]
+        of[members[y]] = x
+        members[x] += members[y]
+        members[y] = None
+        changed[x] += 1
+        changed[y] = -1
+        enter(x)
+    return {v: names[c] for v, c in zip(names, of.tolist())}
 
 
 def communities(edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, vectors
+from ..operators.components import cut
 from . import views as V
 from .ledger_queries import DAY, VALID, _with
 
@@ -21,11 +22,6 @@ PROJECTED = f"valid as (select * from reconciled where retracted_at is null and
 CG = _with(V.CLAIMS, V.RECONCILED, V.ENTITIES, PROJECTED)
 
 
-def small(spark, d):
-    """Trade among the first hundred customers, named by number: what the measures that need the whole graph are shown on."""
-    return V.trade_edges(spark, d).filter("cast(substring(src, 2) as int) <= 100")
-
-
 def pagerank_sql() -> str:
     parts = [V.TRADE, "deg as materialized (select src, count(*) as o from edge group by 1)", "node as materialized (select distinct id from (select src as id from edge union all select dst from edge))", "cnt as materialized (select count(*) as n from node)", "r0 as materialized (select id, 1.0 / n as score from node, cnt)"]
     for i in range(ROUNDS):
@@ -56,8 +52,9 @@ def central(spark, d):
     return graph.degree(V.trade_edges(spark, d)).orderBy(F.desc("degree"), "id").limit(20)
 
 
-def community_sizes(spark, d):
-    return graph.communities(small(spark, d))
+def summary(spark, d):
+    e = cut(V.trade_edges(spark, d))
+    return graph.summary(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
 
 
 COMPONENTS = V.TRADE + """, u as (select src as a, dst as b from edge union select dst, src from edge), reach as (select a as id, a as label from u union select u.b, r.label from reach r join u on u.a = r.id where r.label < u.b)"""
@@ -72,11 +69,11 @@ Q = {
     "ego_graph_r2": (lambda s, d: graph.ego(V.trade_edges(s, d), "C7", 2), f"{_with(V.TRADE)}, sup as (select dst from edge where src = 'C7'), cus as (select distinct src from edge where dst in (select dst from sup)) select * from edge where src in (select src from cus) and dst in (select dst from sup)"),
     "centrality_top": (central, f"{_with(V.TRADE)} select id, count(*) as degree from (select src as id from edge union all select dst from edge) group by 1 order by 2 desc, 1 limit 20"),
     "pagerank_fixed_iter": (lambda s, d: graph.pagerank(V.trade_edges(s, d), rounds=ROUNDS, tolerance=None).select("id", F.round("score", 10).alias("score")), pagerank_sql()),
-    "betweenness": (lambda s, d: graph.betweenness(small(s, d)), None),
-    "communities": (community_sizes, None),
+    "betweenness": (lambda s, d: graph.betweenness(cut(V.trade_edges(s, d))), None),
+    "communities": (lambda s, d: graph.communities(V.trade_edges(s, d)), None),
     "interlocks": (lambda s, d: graph.interlocks(V.trade_edges(s, d)).withColumn("targets", F.array_join("targets", ",")), f"{_with(V.TRADE)} select src as id, count(*) as n_targets, array_to_string(list_sort(list(dst))[1:25], ',') as targets from edge group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50"),
     "components": (lambda s, d: graph.components(V.trade_edges(s, d)), f"with recursive {V.TRADE}, u as materialized (select src as a, dst as b from edge union select dst, src from edge), hub as (select min(a) as m from u), reach as (select m as id from hub union select u.b from reach join u on u.a = reach.id) select a as node, m as component from (select distinct a from u) join hub on true where a in (select id from reach)"),
-    "graph_summary": (lambda s, d: graph.summary(small(s, d).select(F.explode(F.array("src", "dst")).alias("id")).distinct(), small(s, d)), None),
+    "graph_summary": (summary, None),
     "vector_knn": (vector_knn, "with q as (select embedding as v from embeddings where vec_id = 0) select vec_id as id, round(list_cosine_similarity(cast(embedding as double[]), cast(v as double[])), 4) as score from embeddings, q order by list_cosine_similarity(cast(embedding as double[]), cast(v as double[])) desc, vec_id limit 10"),
     "entity_text": (entity_text, "select p_partkey as id, concat_ws(' | ', p_name, case when p_brand <> p_name then p_brand end, case when p_type not in (p_name, p_brand) then p_type end) as text from part"),
     "stable_vector_id": (lambda s, d: V.table(s, d, "part").select("p_name", vectors.stable_id(F.col("p_name")).alias("vid")), "select p_name, cast('0x' || substr(sha1(p_name), 1, 15) as bigint) as vid from part"),
