@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +13,9 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 SPAN = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("snippet", StringType())])
 
+#: Characters of texts that are searched in one step.
+TOGETHER = 1 << 18
+
 
 def jaro_winkler(a: str, b: str) -> float:
     """Prefix weight 0.1 over at most four characters, where the Jaro similarity exceeds 0.7."""
@@ -56,6 +62,42 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs / (len(a) + len(b))
 
 
+def _indel_windows(rows: list[tuple[str, str, np.ndarray]]) -> list[np.ndarray]:
+    """For each (quote, text, starts) indel_ratio of quote with each window of text as long as it; all windows in step, 64 characters of a quote to a word.
+
+    The quotes have one length, and their texts all at least that or all one other.
+    """
+    points = lambda s: np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, size = len(rows[0][0]), min(len(rows[0][0]), len(rows[0][1]))
+    words, masks, places, starts, chars, base = range(0, n, 64), [], [], [], 0, 0
+    for quote, text, at in rows:
+        t = points(text)
+        kinds, code = np.unique(points(quote), return_inverse=True)
+        mask = np.zeros((len(words), len(kinds) + 1), np.uint64)
+        for k, i in enumerate(words):
+            np.bitwise_or.at(mask[k], code[i : i + 64], np.uint64(1) << np.arange(len(code[i : i + 64]), dtype=np.uint64))
+        place = np.minimum(np.searchsorted(kinds, t), len(kinds) - 1)
+        masks.append(mask), places.append(np.where(kinds[place] == t, place, len(kinds)) + base), starts.append(at + chars)  # the last mask is empty
+        chars, base = chars + len(t), base + len(kinds) + 1
+    mask, place, at = np.concatenate(masks, 1), np.concatenate(places), np.concatenate(starts)
+    full = [np.uint64((1 << min(64, n - i)) - 1) for i in words]
+    v = [np.full(len(at), x) for x in full]
+    for j in range(size):
+        c, carry = place[at + j], None
+        for k, x in enumerate(v):
+            u = x & mask[k][c]
+            total = x + u
+            if len(v) > 1:
+                over = total < u
+                if carry is not None:
+                    total = total + carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+            v[k] = (total | (x ^ u)) & full[k]
+    lcs = n - sum(np.bitwise_count(x).astype(np.int64) for x in v)
+    return np.split(200.0 * lcs / (n + size), np.cumsum([len(x) for *_, x in rows])[:-1])
+
+
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -65,18 +107,32 @@ def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _fuzzy(text: pd.Series, quote: pd.Series, least: pd.Series) -> pd.DataFrame:
-    out = []
-    for t, q, low in zip(text, quote, least):
+    out: list[tuple] = [(None, None, None)] * len(text)
+    alike: dict = {}
+    chars: Counter = Counter()
+
+    def search(held: list[tuple]) -> None:
+        for (i, q, t, at, low), ratio in zip(held, _indel_windows([x[1:4] for x in held])):
+            k = int(np.argmax(ratio))
+            if ratio[k] > low:
+                best = int(at[k])
+                out[i] = best, min(best + len(q), len(t)), t[best : best + len(q)]
+
+    for i, (t, q, low) in enumerate(zip(text, quote, least)):
         q = (q or "").strip()
-        best = None
         n = len(q)
         if t and n:
-            top = low
-            for at in range(0, max(1, len(t) - n + 1), max(1, n // 4)):
-                r = indel_ratio(q, t[at : at + n])
-                if r > top:
-                    top, best = r, at
-        out.append((None, None, None) if best is None else (best, min(best + n, len(t)), t[best : best + n]))
+            kind = n, min(n, len(t))
+            held = alike.setdefault(kind, [])
+            chars[kind] += len(t)
+            held.append((i, q, t, np.arange(0, max(1, len(t) - n + 1), max(1, n // 4)), low))
+            if chars[kind] > TOGETHER:
+                search(held)
+                held.clear()
+                chars[kind] = 0
+    for held in alike.values():
+        if held:
+            search(held)
     return pd.DataFrame(out, columns=["start", "end", "snippet"])
 
 
