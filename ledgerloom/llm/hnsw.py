@@ -2,7 +2,8 @@
 
 Vectors are spread over shards by a hash of their id; each shard gets a graph, and every vector queries every shard. A query whose whole
 beam is above the threshold has its beam doubled, and past WIDEST the shard is scanned for it, so that no number of partners is cut off.
-Each task audits its own recall against brute force on a sample of its queries and doubles all beams until it passes. What is found
+Each task audits its own recall against brute force on a sample of its queries, of the pairs and of the nearest vectors, which are there
+whatever the threshold, a query's own vector left out, and doubles all beams until it passes. What is found
 is verified by its cosine; a task sends a spanning forest of its pairs, and components are united over all.
 Insertion and search advance many vectors in step, in numpy.
 """
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from .common import materialize, table
 
 THRESHOLD, M, EF_BUILD, EF, WIDEST, SHARD, AUDIT, RECALL = 0.9, 16, 48, 32, 256, 12_000, 256, 0.98
 BATCH, STEP = 512, 4
+#: So many nearest vectors are audited, of which such a share must be found.
+NEAREST, NEAREST_RECALL = 10, 0.9
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -175,17 +179,34 @@ def _link_back(g: Graph, lev: int, new: np.ndarray, chosen: np.ndarray) -> None:
         links[nodes[h]] = _select(x, np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1), cap)
 
 
-def partners(g: Graph, q: np.ndarray, threshold: float, *, ef: int = EF, widest: int = WIDEST, audit: int = AUDIT, recall: float = RECALL, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) of the pairs with cosine >= threshold, and the beam at which the audit passed."""
+def partners(g: Graph, q: np.ndarray, threshold: float, *, ef: int = EF, widest: int = WIDEST, audit: int = AUDIT, recall: float = RECALL, seed: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, node) of the pairs with cosine >= threshold, and the beam at which the audit passed. own: each query's own node, -1 where it is elsewhere."""
     n = len(g.x)
     low = threshold - 1e-4
     picks = np.random.default_rng(seed).permutation(len(q))[:audit]
-    truth = q[picks] @ g.x.T >= low
+    sims = q[picks] @ g.x.T
+    mine = np.full(len(picks), -1) if own is None else own[picks]
+    sims[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2.0
+    truth = sims >= low
     want = int(truth.sum())
+    k = min(NEAREST, n - 1)
+    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] - 1e-6 if k > 0 else None
+    del sims
+
+    def nearest(width: int) -> float:
+        """The share of the picks' nearest vectors that beams of that width hold."""
+        if k < 1 or not len(picks):
+            return 1.0
+        ids, s = g.search(q[picks], width)
+        return float(np.minimum(((s >= least) & (ids != mine[:, None]) & (ids >= 0)).sum(1), k).sum() / (k * len(picks)))
+
     while True:
         if ef >= n:
             a, b = _scan(g.x, q, np.arange(len(q)), low)
             break
+        if nearest(ef) < NEAREST_RECALL:
+            ef *= 2
+            continue
         pa_, pb, todo, width = [], [], np.arange(len(q)), ef
         while len(todo):
             if width > widest or width >= n:
@@ -204,8 +225,8 @@ def partners(g: Graph, q: np.ndarray, threshold: float, *, ef: int = EF, widest:
         a, b = np.concatenate(pa_), np.concatenate(pb)
         place = np.full(len(q), -1)
         place[picks] = np.arange(len(picks))
-        mine = place[a] >= 0
-        if truth[place[a[mine]], b[mine]].sum() >= recall * want:
+        seen = place[a] >= 0
+        if truth[place[a[seen]], b[seen]].sum() >= recall * want:
             break
         ef *= 2
     cos = np.einsum("ij,ij->i", q[a].astype(np.float64), g.x[b].astype(np.float64))
@@ -293,7 +314,7 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             if graph is None or not queries:
                 return None
             qid = pa.concat_arrays([i for i, _ in queries])
-            a, b, _ = partners(graph, np.concatenate([x for _, x in queries]), threshold, ef=ef, recall=recall)
+            a, b, _ = partners(graph, np.concatenate([x for _, x in queries]), threshold, ef=ef, recall=recall, own=pc.index_in(qid, ids).fill_null(-1).to_numpy(zero_copy_only=False))
             left, right = qid.take(pa.array(a)), ids.take(pa.array(b))
             names = pa.concat_arrays([left, right]).dictionary_encode().indices.to_numpy()
             ok = forest(names[: len(a)], names[len(a) :])
