@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import similarity, text
 
 PREDICATES = ["OWNS", "CONTROLS", "BENEFICIAL_OWNER_OF", "PARENT_OF", "SUBSIDIARY_OF", "OFFICER_OF", "BOARD_MEMBER_OF", "AFFILIATE_OF", "FILED", "ACQUIRED"]
 ENTITY_TYPES = ["Person", "Organization", "Security"]
@@ -99,10 +99,14 @@ def model_claims(documents: DataFrame, make: Callable[[], Callable[[str], list[d
 
 
 def grounded(claims: DataFrame, documents: DataFrame, *, predicates: list[str] = PREDICATES) -> DataFrame:
-    """claims whose predicate is known and whose quote is in the text, exactly or but for white space, with its span."""
+    """claims whose predicate is known and whose quote is in the text, exactly, but for white space, or else nearly (similarity.ground_fuzzy), with its span."""
     rows = claims.filter(F.col("predicate").isin(predicates)).join(documents.select(F.col("id").alias("document_id"), "text"), "document_id")
     span = F.coalesce(text.ground_exact(F.col("text"), F.col("evidence_quote")), text.ground_flexible(F.col("text"), F.col("evidence_quote")))
-    return rows.withColumn("span", span).filter("span is not null").drop("text")
+    rows = rows.withColumn("span", span)
+    # a null text is not searched: Python functions run for every row of a coalesce
+    near = similarity.ground_fuzzy(F.when(F.col("span").isNull(), F.col("text")), F.col("evidence_quote"))
+    near = F.when(near.isNotNull(), F.struct(near["start"].alias("start"), near["end"].alias("end"), near["snippet"].alias("snippet")))
+    return rows.withColumn("span", F.coalesce("span", near)).filter("span is not null").drop("text")
 
 
 def render_works(works: DataFrame) -> DataFrame:
