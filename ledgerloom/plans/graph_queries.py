@@ -69,6 +69,7 @@ Q = {
     "ego_graph_r2": (lambda s, d: graph.ego(V.trade_edges(s, d), "C7", 2), f"{_with(V.TRADE)}, sup as (select dst from edge where src = 'C7'), cus as (select distinct src from edge where dst in (select dst from sup)) select * from edge where src in (select src from cus) and dst in (select dst from sup)"),
     "centrality_top": (central, f"{_with(V.TRADE)} select id, count(*) as degree from (select src as id from edge union all select dst from edge) group by 1 order by 2 desc, 1 limit 20"),
     "pagerank_fixed_iter": (lambda s, d: graph.pagerank(V.trade_edges(s, d), rounds=ROUNDS, tolerance=None).select("id", F.round("score", 10).alias("score")), pagerank_sql()),
+    "pagerank": (lambda s, d: graph.pagerank(V.trade_edges(s, d)), None),
     "betweenness": (lambda s, d: graph.betweenness(cut(V.trade_edges(s, d))), None),
     "communities": (lambda s, d: graph.communities(V.trade_edges(s, d)), None),
     "interlocks": (lambda s, d: graph.interlocks(V.trade_edges(s, d)).withColumn("targets", F.array_join("targets", ",")), f"{_with(V.TRADE)} select src as id, count(*) as n_targets, array_to_string(list_sort(list(dst))[1:25], ',') as targets from edge group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50"),
