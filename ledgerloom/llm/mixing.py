@@ -53,7 +53,7 @@ def _rake_frame(cells: DataFrame, given: list[dict | None], flatten: float, budg
     goal = budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
     targets = []
     for dim, g in zip(DIMS, given):
-        t = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("t")) if g is None else spark.createDataFrame([(k, float(v)) for k, v in g.items()], f"{dim} string, t double")
+        t = cells.groupBy(dim).agg(F.pow(F.sum("tokens").cast("double"), F.lit(flatten)).alias("t")) if g is None else spark.createDataFrame([(k, float(v)) for k, v in g.items()], f"{dim} string, t double").join(cells.select(dim).distinct(), dim, "left_semi")  # as _targets, over the values that there are
         targets.append(materialize(t.withColumn("t", F.col("t") / (t.agg(F.sum("t")).first()[0] or 1.0))))
     now = materialize(cells.withColumn("w", F.col("tokens").cast("double")))
     for _ in range(rounds):

@@ -31,7 +31,7 @@ def stream_alerts(spark, d):
 
 def chain_log(spark, d):
     docs = text_queries.with_meta(spark, d).withColumn("doc_type", F.lit("SC 13D"))
-    log, _ = chain.run_pipeline(spark, docs, V.claims(spark, d), V.entities(spark, d), stored_contradictions(spark, d), pack="a", on=DAY)
+    log, _ = chain.run_pipeline(spark, docs, V.claims(spark, d), V.entities(spark, d), stored_contradictions(spark, d), works=V.works(spark, d), pack="all", on=DAY)
     return log.select("stage", "status", F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("counts"))
 
 
