@@ -2,32 +2,66 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_written: set[str] = set()
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one under the warehouse."""
+    """The folder of spark.checkpoint.dir, or the one the context was given; where both are unset, one under the warehouse in local mode, and an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    return (where or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared").rstrip("/")
+    if not where:
+        sc = spark.sparkContext
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared")
+        where = sc._jsc.sc().getCheckpointDir().get()
+    return where.rstrip("/")
+
+
+def _delete(folder: str) -> None:
+    jvm = SparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    sc = SparkContext._active_spark_context
+    conf = sc._jsc.hadoopConfiguration() if sc is not None and sc._jsc is not None else jvm.org.apache.hadoop.conf.Configuration()
+    path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again, so that lineage ends at files that outlive executors."""
+    """df written as Parquet in the shared folder and read again, so that lineage ends at files that outlive executors.
+
+    What drop_cut doesn't delete, because a result still reads it, is deleted when the driver's process ends.
+    """
     path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete what cut(df) wrote; only for frames that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/cut-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_cut(*frames: DataFrame) -> None:
+    """Delete what cut wrote; only for frames that no later plan reads."""
+    for df in frames:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/cut-" in folder:
+                _delete(folder)
+                name = folder.rsplit("/", 1)[1]
+                _written.difference_update([x for x in _written if x.endswith(name)])
+
+
+@atexit.register
+def _drop_rest() -> None:
+    for folder in list(_written):
+        try:
+            _delete(folder)
+        except Exception:  # the JVM is gone; its folder is the cluster's to clear
+            return
+        _written.discard(folder)
 
 
 def connected_components(edges: DataFrame, *, src: str = "src", dst: str = "dst") -> DataFrame:
