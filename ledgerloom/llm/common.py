@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import checkpoint_root, cut, drop_cut
+
 CHUNK_BYTES = 8 << 20
 
 
@@ -19,34 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), one under the warehouse is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.shared")
-        where = sc._jsc.sc().getCheckpointDir().get()
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends at files that survive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete the files of materialized frames that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/cut-" in f:
-                p = jvm.org.apache.hadoop.fs.Path(f)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Frames written to the shared folder, so that lineage ends at files that survive executors, and their deletion.
+shared_dir, materialize, discard = checkpoint_root, cut, drop_cut
 
 
 def as_string(col: pa.Array) -> pa.StringArray:

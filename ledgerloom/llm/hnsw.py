@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialize, table
+from .common import discard, materialize, table
 
-THRESHOLD, M, EF_BUILD, EF, WIDEST, SHARD, AUDIT, RECALL = 0.9, 16, 48, 32, 256, 12_000, 256, 0.98
-BATCH, STEP = 512, 4
+THRESHOLD, M, EF_BUILD, EF, WIDEST, AUDIT, RECALL = 0.9, 24, 64, 16, 256, 256, 0.98
+#: Bytes of a shard's vectors and links at most; the rows from which on there are more shards than one, one for each core at most; queries of a task.
+SHARD_BYTES, SHARD, QUERIES = 128 << 20, 32_000, 500_000
+BATCH, STEP, SEEN = 512, 4, 64 << 20
 #: So many nearest vectors are audited, of which such a share must be found.
 NEAREST, NEAREST_RECALL = 10, 0.9
 
@@ -66,6 +68,10 @@ class Graph:
 
     def search(self, q: np.ndarray, ef: int, level: int = 0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Beams (ids, sims) of the queries on a level, best first; from the entry, descending, unless start is given."""
+        if len(q) > 1 and len(q) * len(self.x) > SEEN:  # what has been seen is held for each pair
+            at = np.array_split(np.arange(len(q)), -(-len(q) * len(self.x) // SEEN))
+            done_ = [self.search(q[i], ef, level, None if start is None else start[i]) for i in at if len(i)]
+            return np.concatenate([i for i, _ in done_]), np.concatenate([s for _, s in done_])
         if start is None:
             start = np.full((len(q), 1), self.entry, np.int32)
             for upper in range(len(self.links) - 1, level, -1):
@@ -93,18 +99,19 @@ class Graph:
             done[live[:, None], best] |= good
             near = links[np.maximum(np.take_along_axis(ids[live], best, 1), 0)]
             near = np.where(good[:, :, None], near, -1).reshape(len(live), -1)
-            fresh = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
+            r, c = np.nonzero((near >= 0) & ~seen[live[:, None], np.maximum(near, 0)])
             # a node that two of the expanded ones share counts once
-            order = np.argsort(near, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(near, order, 1)
-            twice = np.zeros_like(fresh)
-            np.put_along_axis(twice, order[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], 1)
-            fresh &= ~twice
-            r, c = np.nonzero(fresh)
-            node = near[r, c]
-            seen[live[r], node] = True
-            s = np.full(near.shape, -2.0, np.float32)
-            s[r, c] = np.einsum("ij,ij->i", x[node], q[live[r]])
+            key = live[r] * len(x) + near[r, c]
+            _, once = np.unique(key, return_index=True)
+            r, c = r[once], c[once]
+            seen.ravel()[key[once]] = True
+            count = np.bincount(r, minlength=len(live))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            packed = np.full((len(live), int(count.max()) if len(count) else 0), -1, near.dtype)
+            packed[r, place] = near[r, c]
+            s = np.full(packed.shape, -2.0, np.float32)
+            s[r, place] = np.einsum("ij,ij->i", x[packed[r, place]], q[live[r]])
+            near, fresh = packed, packed >= 0
             all_ids = np.concatenate([ids[live], near], 1)
             all_sims = np.concatenate([sims[live], s], 1)
             all_done = np.concatenate([done[live], ~fresh], 1)
@@ -262,7 +269,17 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, shard_size: int = SHARD, ef: int = EF, recall: float = RECALL) -> DataFrame:
+def spread(n: int, dim: int, cores: int, shard_size: int | None = None) -> tuple[int, int]:
+    """(shards, parts): as few graphs as memory and the cores allow, since each vector queries all of them, and tasks for each graph.
+
+    A graph has at most SHARD_BYTES; below that, SHARD rows at least before there is another. A task has at most QUERIES queries.
+    """
+    most = max(1, SHARD_BYTES // (4 * (dim + 2 * M + 4))) if shard_size is None else shard_size
+    shards = max(1, -(-n // most), min(cores, -(-n // SHARD)))
+    return shards, max(1, -(-cores // shards), -(-n // QUERIES))
+
+
+def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, shard_size: int | None = None, ef: int = EF, recall: float = RECALL) -> DataFrame:
     """(id, group_id, group_size) of the ids that are in a group of two or more; group_id is the least id of the group.
 
     Groups are the components of pairs whose cosine is at least threshold. Rows with a null id, and vectors that are null, have a null
@@ -277,9 +294,7 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     one = materialize(sound.filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")))
     reps = materialize(one.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
     n = reps.count()
-    shards = max(1, -(-n // shard_size))
-    cores = spark.sparkContext.defaultParallelism
-    parts = max(1, -(-cores // shards), -(-n // 20_000))
+    shards, parts = spread(n, dim, spark.sparkContext.defaultParallelism, shard_size)
 
     def pack(v: pa.ListArray) -> np.ndarray:
         x = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
@@ -298,8 +313,8 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             blob = pickle.dumps((mine.column("id").to_pylist(), g.x, g.links, g.entry), protocol=5)
             yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([blob], pa.binary())], ["shard", "body"])
 
-    spread = reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = materialize(spread.select("shard", "id", "v").repartition(shards, "shard").mapInArrow(build_all, "shard int, body binary"))
+    spread_ = reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    graphs = materialize(spread_.select("shard", "id", "v").repartition(shards, "shard").mapInArrow(build_all, "shard int, body binary"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     none = F.lit(None)
     rows = graphs.select("shard", every(parts).alias("part"), F.lit(0).alias("role"), none.cast(kind).alias("id"), "body", none.cast("array<float>").alias("v")).unionByName(
@@ -341,6 +356,7 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             yield out
 
     edges = materialize(rows.mapInArrow(run, f"a {kind}, b {kind}"))
+    discard(graphs)
     comp = connected_components(edges, src="a", dst="b")
     named = reps.join(comp, reps["id"] == comp["node"], "left").select(F.col("id").alias("rep"), "v", F.coalesce("component", "id").alias("group_id"))
     group = one.join(named, "v").select("id", "group_id")
@@ -350,3 +366,37 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+COPY = 1_000_000_000
+
+
+def with_copies(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding): vectors, a copy within the threshold of each third of them, and one outside of it of each fifth."""
+    def copy(every: int, offset: int, much: float) -> DataFrame:
+        noisy = F.transform(F.col("embedding"), lambda x, i: (x.cast("double") * (F.lit(1.0) + F.lit(much) * ((F.col("vec_id") + i) % 3 - 1))).cast("float"))
+        return vectors.filter(F.col("vec_id") % every == 0).withColumn("embedding", noisy).select((F.col("vec_id") + offset).alias("vec_id"), "embedding")
+
+    return vectors.select("vec_id", "embedding").unionByName(copy(3, COPY, 0.2)).unionByName(copy(5, 2 * COPY, 0.9))
+
+
+def embedding_dedup_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 where there is something to find at every size: small tables hold no near copies of their own."""
+    return near_embeddings(with_copies(table(spark, sf_dir, "embeddings")))
+
+
+def embeddings_sql(source: str = "embeddings") -> str:
+    """Components of all pairs by brute force."""
+    return f"""with recursive v as materialized (select vec_id, cast(embedding as double[]) as e from {source} where vec_id is not null and embedding is not null),
+pair as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id < b.vec_id and list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+link as materialized (select a, b from pair union all select b, a from pair),
+reach as (select a as id, a as other from link union select r.id, l.b from reach r join link l on l.a = r.other),
+grp as materialized (select id as vec_id, min(other) as group_id from reach group by 1)
+select vec_id, group_id, count(*) over (partition by group_id) as group_size from grp"""
+
+
+_NOISY = "select vec_id + {offset} as vec_id, list_transform(embedding, lambda x, i: cast(cast(x as double) * (1.0::double + {much}::double * ((vec_id + i - 1) % 3 - 1)) as float)) as embedding from embeddings where vec_id % {every} = 0"
+SQL = {
+    "op5_embedding_dedup": embeddings_sql(),
+    "embedding_dedup_with_copies": embeddings_sql(f"(select vec_id, embedding from embeddings union all {_NOISY.format(offset=COPY, much=0.2, every=3)} union all {_NOISY.format(offset=2 * COPY, much=0.9, every=5)})"),
+}

@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_embedding_dedup": hnsw.op5_embedding_dedup,
+        "embedding_dedup_with_copies": hnsw.embedding_dedup_with_copies,
         "op6_mixing": mixing.op6_mixing,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_flac": flac.SQL, "op6_mixing": mixing.mixing_sql()}
+    return {"op1_flac": flac.SQL, "op6_mixing": mixing.mixing_sql()} | hnsw.SQL
