@@ -2,8 +2,9 @@
 
 Vectors are spread over shards by a hash of their id; each shard gets a graph, and every vector queries every shard. A query whose whole
 beam is above the threshold has its beam doubled, and past WIDEST the shard is scanned for it, so that no number of partners is cut off.
-Each task audits its own recall against brute force on a sample of its queries, of the pairs and of the nearest vectors, which are there
-whatever the threshold, a query's own vector left out, and doubles all beams until it passes. What is found
+Each task audits its own recall against brute force, and doubles all beams until it passes: of the pairs of a sample of its queries, their
+own vectors left out, and of those of probes, which are made at just the threshold's cosine from vectors of the shard, so that
+there is something to miss however few pairs a table has. What is found
 is verified by its cosine; a task sends a spanning forest of its pairs, and components are united over all.
 Insertion and search advance many vectors in step, in numpy.
 """
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import discard, materialize, table
 
-THRESHOLD, M, EF_BUILD, EF, WIDEST, AUDIT, RECALL = 0.9, 24, 64, 16, 256, 256, 0.98
+THRESHOLD, M, EF_BUILD, EF, WIDEST, AUDIT, RECALL = 0.9, 16, 48, 16, 256, 256, 0.98
 #: Bytes of a shard's vectors and links at most; the rows from which on there are more shards than one, one for each core at most; queries of a task.
 SHARD_BYTES, SHARD, QUERIES = 128 << 20, 32_000, 500_000
 BATCH, STEP, SEEN = 512, 4, 64 << 20
-#: So many nearest vectors are audited, of which such a share must be found.
-NEAREST, NEAREST_RECALL = 10, 0.9
+#: So many nearest vectors are audited where a share of them is asked for.
+NEAREST = 10
 
 
 def _top(sims: np.ndarray, k: int) -> np.ndarray:
@@ -186,32 +187,51 @@ def _link_back(g: Graph, lev: int, new: np.ndarray, chosen: np.ndarray) -> None:
         links[nodes[h]] = _select(x, np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1), cap)
 
 
-def partners(g: Graph, q: np.ndarray, threshold: float, *, ef: int = EF, widest: int = WIDEST, audit: int = AUDIT, recall: float = RECALL, seed: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) of the pairs with cosine >= threshold, and the beam at which the audit passed. own: each query's own node, -1 where it is elsewhere."""
+def probes(x: np.ndarray, threshold: float, count: int, rng: np.random.Generator) -> np.ndarray:
+    """Vectors of unit length whose cosine with one of x, each with another, is threshold."""
+    v = x[rng.permutation(len(x))[:count]].astype(np.float64)
+    z = rng.standard_normal(v.shape)
+    z -= np.einsum("ij,ij->i", z, v)[:, None] * v
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    return (threshold * v + np.sqrt(max(0.0, 1 - threshold * threshold)) * z).astype(np.float32)
+
+
+def partners(g: Graph, q: np.ndarray, threshold: float, *, ef: int = EF, widest: int = WIDEST, audit: int = AUDIT, recall: float = RECALL, nearest: float = 0.0, seed: int = 0, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(query, node) of the pairs with cosine >= threshold, and the beam at which the audit passed. own: each query's own node, -1 where it is elsewhere.
+
+    recall: of the sought pairs, those of picked queries and those of probes; nearest: of the picks' NEAREST nearest, where the index has to give these too.
+    """
     n = len(g.x)
     low = threshold - 1e-4
-    picks = np.random.default_rng(seed).permutation(len(q))[:audit]
+    rng = np.random.default_rng(seed)
+    picks = rng.permutation(len(q))[:audit]
     sims = q[picks] @ g.x.T
     mine = np.full(len(picks), -1) if own is None else own[picks]
     sims[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -2.0
     truth = sims >= low
     want = int(truth.sum())
-    k = min(NEAREST, n - 1)
+    k = min(NEAREST, n - 1) if nearest else 0
     least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k] - 1e-6 if k > 0 else None
     del sims
-
-    def nearest(width: int) -> float:
-        """The share of the picks' nearest vectors that beams of that width hold."""
+    probe = probes(g.x, threshold, audit, rng)
+    near = probe @ g.x.T >= low
+
+    def narrow(width: int) -> bool:
+        """Whether beams of that width miss too many of the probes' pairs or of the picks' nearest."""
+        ids, s = g.search(probe, width)
+        # of a full beam's pairs the rest is found by wider ones
+        if np.minimum((s >= low).sum(1), near.sum(1)).sum() < recall * np.minimum(near.sum(1), width).sum():
+            return True
         if k < 1 or not len(picks):
-            return 1.0
+            return False
         ids, s = g.search(q[picks], width)
-        return float(np.minimum(((s >= least) & (ids != mine[:, None]) & (ids >= 0)).sum(1), k).sum() / (k * len(picks)))
+        return np.minimum(((s >= least) & (ids != mine[:, None]) & (ids >= 0)).sum(1), k).sum() < nearest * k * len(picks)
 
     while True:
-        if ef >= n:
+        if ef >= n or ef > widest:  # no beam will do: every query scans the shard
             a, b = _scan(g.x, q, np.arange(len(q)), low)
             break
-        if nearest(ef) < NEAREST_RECALL:
+        if narrow(ef):
             ef *= 2
             continue
         pa_, pb, todo, width = [], [], np.arange(len(q)), ef
