@@ -122,7 +122,26 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + lens[i] - 1 for each i, one after the other."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lens), lens)
+    shift = starts - (ends - lens)
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int(starts.max()) < 1 << 31) else np.int64
+    out = np.arange(total, dtype=kind)
+    out += np.repeat(shift.astype(kind), lens)
+    return out
+
+
+def alike(lens: np.ndarray, each: int, limit: int, few: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Runs of places, the longest first, whose matrix of each bytes for every place and character stays within limit; lengths of a run differ by
+    half at most unless they are small. True for a run of few long ones, which go faster, and in less memory, one by one."""
+    order = np.argsort(-lens, kind="stable")
+    at = 0
+    while at < len(order):
+        top = int(lens[order[at]])
+        end = at + max(1, limit // ((top + 2) * each))
+        if top > 64:
+            end = min(end, int(np.searchsorted(-lens[order], -(top // 2), side="right")))
+        run = order[at : max(at + 1, end)]
+        yield run, top > 64 and len(run) < few
+        at += len(run)
 
 
 def uniform(col) -> F.Column:

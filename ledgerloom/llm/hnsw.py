@@ -334,13 +334,13 @@ def near_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
             yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([blob], pa.binary())], ["shard", "body"])
 
     spread_ = reps.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = materialize(spread_.select("shard", "id", "v").repartition(shards, "shard").mapInArrow(build_all, "shard int, body binary"))
+    graphs = materialize(spread_.select("shard", "id", "v").repartitionById(shards, "shard").mapInArrow(build_all, "shard int, body binary"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     none = F.lit(None)
     rows = graphs.select("shard", every(parts).alias("part"), F.lit(0).alias("role"), none.cast(kind).alias("id"), "body", none.cast("array<float>").alias("v")).unionByName(
         reps.select(every(shards).alias("shard"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("role"), "id", none.cast("binary").alias("body"), "v")
     )
-    rows = rows.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "role")
+    rows = rows.repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("shard", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, graph, ids, queries = None, None, None, []

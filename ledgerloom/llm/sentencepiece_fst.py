@@ -10,6 +10,7 @@ The distinct words of a chunk are composed together in numpy, one position at a
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .common import ragged, raw, slices, table
-from .token_counts import LOCKSTEP, prepared, segments
+from .common import alike, ragged, raw, slices, table
+from .token_counts import CHUNK, LOCKSTEP, MATRIX, prepared, segments
 
 
 class Normalizer:
@@ -80,35 +81,42 @@ class Transducer:
         self.kids, self.final_list = kids, final
         self.final = np.array(final, np.int32)
         self.ids = np.array([i for i, _, _ in items], np.int32)
-        self.cost = np.array([-s for _, _, s in items])
+        self.size = np.array([len(w) for _, w, _ in items], np.int32)
+        self.ring = max(4, int(self.size.max(initial=0))) + 1
+        self.cost = np.array([-s for _, _, s in items], np.float32)
         self.one_char = np.array([len(w.decode()) == 1 for _, w, _ in items])
         self.unk_cost, self.fallback, self.unk_id = -vocab.unk_score, vocab.byte_fallback, vocab.unk_id
         self.bytes_ = np.array(vocab.byte_ids(), np.int32)
-        self.cross = vocab.crosses_blanks()
+        self.cross = vocab.whole_texts()
 
     def encode_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and the number of them for each word, which a blank precedes."""
+        """Flat ids and the number of them for each word, taken as it is."""
         data, starts, lens = raw(words)
-        n = len(starts)
-        order = np.argsort(-lens, kind="stable")
-        cut = min(n, LOCKSTEP)
-        limit = max(64, int(lens[order[cut - 1]])) if n else 0
-        alone = [i for i in order[:cut] if lens[i] > limit] if n > LOCKSTEP else list(order)
-        singles = {int(i): self.encode_one(b" " + data[starts[i] : starts[i] + lens[i]].tobytes()) for i in alone}
-        order = order[len(alone) :]
-        count = np.zeros(n, np.int64)
-        for i, ids in singles.items():
-            count[i] = len(ids)
-        w = len(order)
-        if w:
-            start, size = starts[order], lens[order] + 1
-            top = int(size[0])
+        count, made = np.zeros(len(starts), np.int64), []
+        for run, single in alike(lens, 13, MATRIX, LOCKSTEP):
+            if single:
+                for i in run:
+                    ids = np.array(self.encode_one(data[starts[i] : starts[i] + lens[i]].tobytes()), np.int32)
+                    made.append((np.array([i]), ids, np.array([len(ids)])))
+            else:
+                made.append((run, *self._together(data, starts[run], lens[run])))
+            count[run] = np.concatenate([c for _, _, c in made[-len(run) if single else -1 :]])
+        off = np.concatenate([[0], np.cumsum(count)])
+        flat = np.zeros(int(off[-1]), np.int32)
+        for run, ids, c in made:
+            flat[ragged(off[run], c)] = ids
+        return flat, count
+
+    def _together(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words in descending order of length, a position of all of them at a time."""
+        w, top = len(start), int(size[0])
+        count = np.zeros(w, np.int64)
+        if top:
             byte = np.zeros((top, w), np.uint8)
-            byte[0] = 32
             active = np.searchsorted(-size, -np.arange(1, top + 1), side="right")  # words with more than t bytes
-            for t in range(1, top):
-                byte[t, : active[t]] = data[start[: active[t]] + (t - 1)]
-            dist, piece, frm = np.full((top + 1, w), np.inf), np.full((top + 1, w), -1, np.int32), np.zeros((top + 1, w), np.int32)
+            for t in range(top):
+                byte[t, : active[t]] = data[start[: active[t]] + t]
+            dist, piece, frm = np.full((top + 1, w), np.inf, np.float32), np.full((top + 1, w), -1, np.int32), np.zeros((top + 1, w), np.int32)
             dist[0] = 0
             for p in range(top):
                 a = int(active[p])
@@ -135,7 +143,7 @@ class Transducer:
                 if len(h):
                     b0 = byte[p, h]
                     end = p + np.where(b0 < 0x80, 1, np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4)))
-                    d = base[h] + self.unk_cost
+                    d = base[h] + np.float32(self.unk_cost)
                     up = d < dist[end, h]
                     h, end = h[up], end[up]
                     dist[end, h], piece[end, h], frm[end, h] = d[up], -1, p
@@ -158,26 +166,23 @@ class Transducer:
                 pos = f
                 more = pos > 0
                 idx, pos = idx[more], pos[more]
-            count[order] = num
+            count = num
         off = np.concatenate([[0], np.cumsum(count)])
         flat = np.zeros(int(off[-1]), np.int32)
-        if w:
-            last = off[1:][order] - 1
+        if top:
             for idx, place, ids in steps:
-                flat[last[idx] - place] = ids
-        for i, ids in singles.items():
-            flat[off[i] : off[i + 1]] = ids
+                flat[off[1:][idx] - 1 - place] = ids
         return flat, count
 
     def encode_one(self, text: bytes) -> list[int]:
-        """The same for one text, state by state."""
-        n = len(text)
-        dist, back = [float("inf")] * (n + 1), [(0, -1)] * (n + 1)
-        dist[0] = 0.0
-        cost = self.cost
+        """The same for one text, state by state. Four bytes are held for each of its own, and distances for as many as a piece may be long."""
+        n, ring, cost = len(text), self.ring, self.cost
+        dist, back = [np.inf] * ring, array("i", bytes(4 * (n + 1)))
+        dist[0] = np.float32(0)
         for p in range(n):
-            base = dist[p]
-            if base == float("inf"):
+            base = dist[p % ring]
+            dist[p % ring] = np.inf  # free for the position that takes its place
+            if base == np.inf:
                 continue
             s, known = 0, False
             for at in range(p, n):
@@ -188,16 +193,20 @@ class Transducer:
                 if k >= 0:
                     known |= bool(self.one_char[k])
                     d = base + cost[k]
-                    if d < dist[at + 1]:
-                        dist[at + 1], back[at + 1] = d, (p, k)
+                    if d < dist[(at + 1) % ring]:
+                        dist[(at + 1) % ring], back[at + 1] = d, k
             if not known:
                 b0 = text[p]
                 end = p + (1 if b0 < 0x80 else 2 if b0 < 0xE0 else 3 if b0 < 0xF0 else 4)
-                if base + self.unk_cost < dist[end]:
-                    dist[end], back[end] = base + self.unk_cost, (p, -1)
+                d = base + np.float32(self.unk_cost)
+                if d < dist[end % ring]:
+                    dist[end % ring], back[end] = d, -1
         out, p = [], n
         while p:
-            f, k = back[p]
+            k = back[p]
+            f = p - int(self.size[k]) if k >= 0 else p - 1
+            while k < 0 and text[f] & 0xC0 == 0x80:
+                f -= 1
             out += [int(self.ids[k])] if k >= 0 else [int(self.bytes_[b]) for b in reversed(text[f:p])] if self.fallback else [self.unk_id]
             p = f
         return out[::-1]
@@ -218,7 +227,7 @@ def encode_array(col: pa.Array, vocab: V.Vocab) -> pa.ListArray:
     """Lists of ids; null for null."""
     fst = transducer(vocab)
     col = prepared(col, vocab)
-    w = segments(col, fst.cross)
+    w = segments(col, fst.cross, vocab.add_dummy_prefix)
     flat, count = fst.encode_words(w.vocab)
     off = np.concatenate([[0], np.cumsum(count)])
     ids = flat[ragged(off[:-1][w.codes], count[w.codes])]
@@ -262,7 +271,8 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     ids is the cheapest path; decodes says whether decoding ids gives the normalised text again (null without check).
     A null text gives nulls, an empty one an empty list that decodes. Repeated rows and null ids are encoded row by row; other
-    columns, whatever their names, are dropped. An empty table gives an empty result. Texts of any length are whole.
+    columns, whatever their names, are dropped. An empty table gives an empty result. Texts of any length are whole; a task's memory is as in
+    token_counts, but for the four bytes that each byte of a long word takes.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(V.load(model_path))
@@ -270,7 +280,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         back = Decoder(vocab)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", CHUNK):
             ids = encode_array(b.column("text"), vocab)
             same = pc.equal(back.array(ids), prepared(b.column("text"), vocab)) if check else pa.nulls(len(ids), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("id"), ids, pc.list_value_length(ids).cast(pa.int64()), same], ["id", "ids", "n_tokens", "decodes"])

@@ -3,10 +3,10 @@
 An Aho-Corasick automaton over UTF-8 bytes enumerates, for each end position, the pieces that end there; dynamic
 programming carries only the best score and the number of pieces. All distinct words of a chunk of text advance
 together, one byte at a time, in numpy. Words can be taken one by one because no piece of the vocabulary holds a blank
-after another character; where one does, whole texts are the words.
+after another character and scores are sixteenths; where that isn't so, whole texts are the words (Vocab.whole_texts).
 
 Ties are the tokenizer's: a candidate replaces the best only if it is strictly better, and candidates for one end come by
-ascending start (the longest piece first, the unknown character last). Sums are in doubles.
+ascending start (the longest piece first, the unknown character last). As there, scores and their sums are floats.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import vocab as V
-from .common import Words, as_string, of_lists, raw, slices, table
+from .common import Words, alike, as_string, of_lists, raw, slices, table
 
-LOCKSTEP = 24
+#: So many words at least advance together; bytes of the matrices for them; bytes of text whose distinct words are taken together.
+LOCKSTEP, MATRIX, CHUNK = 24, 32 << 20, 2 << 20
 
 
 class Automaton:
@@ -62,10 +63,11 @@ class Automaton:
         self.out = np.where(piece_ >= 0, np.arange(n, dtype=np.int32), link_)
         self.link = link_
         self.size = np.array([len(self.items[k][1]) if k >= 0 else 0 for k in piece], np.int32)
-        self.score = np.array([self.items[k][2] if k >= 0 else 0.0 for k in piece])
+        self.score = np.array([self.items[k][2] if k >= 0 else 0.0 for k in piece], np.float32)
+        self.ring = max(4, int(self.size.max())) + 1
         self.single = np.array([k >= 0 and len(self.items[k][1].decode()) == 1 for k in piece])
         self.unk, self.fallback = vocab.unk_score, vocab.byte_fallback
-        self.cross = vocab.crosses_blanks()
+        self.cross = vocab.whole_texts()
 
     @staticmethod
     def _grow(kids: list, piece: list, s: int, b: int) -> int:
@@ -75,38 +77,34 @@ class Automaton:
         return len(kids) - 1
 
     def counts(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces and best score of each word, which a blank precedes."""
+        """Pieces and best score of each word, taken as it is."""
         data, starts, lens = raw(words)
-        n = len(starts)
-        count, score = np.zeros(n, np.int64), np.zeros(n)
-        if not n:
-            return count, score
-        order = np.argsort(-lens, kind="stable")
-        # the few longest words go one by one: a step over a handful of words costs as much as one over thousands
-        long = order[: LOCKSTEP][lens[order[:LOCKSTEP]] > 64] if n > LOCKSTEP else order
-        if len(long) == LOCKSTEP and lens[order[LOCKSTEP]] > 64:
-            long = order[: int((lens[order] > max(64, lens[order[LOCKSTEP]])).sum())]
-        for i in long:
-            count[i], score[i] = self.one(b" " + data[starts[i] : starts[i] + lens[i]].tobytes())
-        order = order[len(long) :]
-        if not len(order):
-            return count, score
-        start, size = starts[order], lens[order]
-        top, w = int(size[0]) + 1, len(order)
-        best, num = np.full((top + 1, w), -np.inf), np.zeros((top + 1, w), np.int32)
+        count, score = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        for run, single in alike(lens, 8, MATRIX, LOCKSTEP):
+            if single:
+                for i in run:
+                    count[i], score[i] = self.one(data[starts[i] : starts[i] + lens[i]].tobytes())
+            else:
+                count[run], score[run] = self._together(data, starts[run], lens[run])
+        return count, score
+
+    def _together(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words in descending order of length, a byte of all of them at a time."""
+        top, w = int(size[0]), len(start)
+        best, num = np.full((top + 1, w), -np.inf, np.float32), np.zeros((top + 1, w), np.int32)
         best[0] = 0
         state, first, done = np.zeros(w, np.int32), np.zeros(w, np.int32), np.arange(w)
-        active = np.searchsorted(-size, -np.arange(top), side="right")  # words with at least t bytes
+        active = np.searchsorted(-size, -np.arange(1, top + 1), side="right")  # words with more than t bytes
         for t in range(top):
-            a = int(active[t]) if t else w
-            byte = data[start[:a] + (t - 1)] if t else np.full(w, 32, np.uint8)
+            a = int(active[t])
+            byte = data[start[:a] + t]
             state[:a] = self.delta[self.row[state[:a]], byte]
             lead = (byte & 0xC0) != 0x80
             first[:a][lead] = t
             width = np.where(byte < 0x80, 1, 0)
             if (byte >= 0x80).any():
                 at = first[:a]
-                b0 = np.where(at > 0, data[np.minimum(start[:a] + np.maximum(at, 1) - 1, len(data) - 1)], 32)
+                b0 = data[start[:a] + at]
                 need = np.where(b0 < 0x80, 1, np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4)))
                 width = np.where(t + 1 - at == need, need, 0)
             b, c = best[t + 1], num[t + 1]
@@ -128,37 +126,37 @@ class Automaton:
             idx = np.flatnonzero(~known & (width > 0))
             if len(idx):
                 frm = t + 1 - width[idx]
-                cand = best[frm, idx] + self.unk
+                cand = best[frm, idx] + np.float32(self.unk)
                 up = cand > b[idx]
                 hit = idx[up]
                 b[hit] = cand[up]
                 c[hit] = num[frm[up], hit] + (width[hit] if self.fallback else 1)
-        count[order], score[order] = num[size + 1, done], best[size + 1, done]
-        return count, score
+        return num[size, done].astype(np.int64), best[size, done].astype(np.float64)
 
     def one(self, text: bytes) -> tuple[int, float]:
-        """The same for one text, position by position."""
-        n = len(text)
-        best, num, s, lead = [float("-inf")] * (n + 1), [0] * (n + 1), 0, 0
-        best[0] = 0.0
+        """The same for one text, position by position; only as many of them are held as a piece may be long."""
+        n, ring = len(text), self.ring
+        best, num, s, lead = [np.float32(-np.inf)] * ring, [0] * ring, 0, 0
+        best[0] = np.float32(0)
         delta, row, out, link, size, score, single = self.delta, self.row, self.out, self.link, self.size, self.score, self.single
         for t in range(n):
             s = int(delta[row[s], text[t]])
             if text[t] & 0xC0 != 0x80:
                 lead = t
-            k, known = int(out[s]), False
+            k, known, top, c = int(out[s]), False, np.float32(-np.inf), 0
             while k >= 0:
-                frm = t + 1 - int(size[k])
-                v = best[frm] + float(score[k])
+                frm = (t + 1 - int(size[k])) % ring
+                v = best[frm] + score[k]
                 known |= bool(single[k])
-                if v > best[t + 1]:
-                    best[t + 1], num[t + 1] = v, num[frm] + 1
+                if v > top:
+                    top, c = v, num[frm] + 1
                 k = int(link[k])
             if not known and (t + 1 == n or text[t + 1] & 0xC0 != 0x80):
-                v = best[lead] + self.unk
-                if v > best[t + 1]:
-                    best[t + 1], num[t + 1] = v, num[lead] + (t + 1 - lead if self.fallback else 1)
-        return num[n], best[n]
+                v = best[lead % ring] + np.float32(self.unk)
+                if v > top:
+                    top, c = v, num[lead % ring] + (t + 1 - lead if self.fallback else 1)
+            best[(t + 1) % ring], num[(t + 1) % ring] = top, c
+        return num[n % ring], float(best[n % ring])
 
 
 def prepared(col: pa.Array, vocab: V.Vocab) -> pa.StringArray:
@@ -175,10 +173,13 @@ def prepared(col: pa.Array, vocab: V.Vocab) -> pa.StringArray:
     return col
 
 
-def segments(col: pa.StringArray, whole: bool = False) -> Words:
-    """Words of prepared texts, each standing for itself with one blank before it; further blanks of a run lead the word."""
+def segments(col: pa.StringArray, whole: bool = False, prefix: bool = True) -> Words:
+    """Words of prepared texts with the blanks before them; the first of a text has one more where there is a dummy prefix.
+
+    whole: a text is one word.
+    """
     if whole:
-        return of_lists(pa.array([[x] if x else [] for x in col.to_pylist()], pa.list_(pa.string())))
+        return of_lists(pa.array([[" " * prefix + x] if x else [] for x in col.to_pylist()], pa.list_(pa.string())))
     lists = pc.split_pattern(col, " ")
     odd = pc.or_(pc.or_(pc.match_substring(col, "  "), pc.starts_with(col, " ")), pc.or_(pc.ends_with(col, " "), pc.equal(col, "")))
     if pc.any(pc.fill_null(odd, False)).as_py():
@@ -187,7 +188,13 @@ def segments(col: pa.StringArray, whole: bool = False) -> Words:
         fixed = pa.array([[y[1:] for y in split(" " + x)] if x else [] for x in col.filter(pa.array(hard)).to_pylist()], pa.list_(pa.string()))
         pick = np.where(hard, len(col) + np.cumsum(hard) - 1, np.arange(len(col)))
         lists = pa.concat_arrays([lists, fixed]).take(pa.array(pick))
-    return of_lists(lists)
+    w = of_lists(lists)
+    blank = pc.binary_join_element_wise(pa.scalar(""), w.vocab, pa.scalar(" ")) if len(w.vocab) else w.vocab
+    if prefix:
+        return Words(w.offsets, w.codes, blank)
+    codes = w.codes.astype(np.int64)
+    codes[w.offsets[:-1][w.counts > 0]] += len(w.vocab)  # first words stand without the blank
+    return Words(w.offsets, codes, pa.concat_arrays([blank, w.vocab]))
 
 
 _MADE: dict[int, Automaton] = {}
@@ -206,7 +213,8 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A null text gives nulls, an empty one 0 tokens and score 0; a text that is blank has tokens. Repeated rows and null ids
     are counted row by row; other columns, whatever their names, are dropped. An empty table gives an empty result.
-    The vocabulary (fixed size) is read on the driver and goes out with the code; texts of any length are whole.
+    The vocabulary (fixed size) is read on the driver and goes out with the code. Texts of any length are whole: a task holds about CHUNK bytes of
+    them, one text at least, and MATRIX bytes for words that advance together; longer words take memory for one piece's length only.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(V.load(model_path))
@@ -214,9 +222,9 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
         ac = automaton(vocab)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", CHUNK):
             col = prepared(b.column("text"), vocab)
-            w = segments(col, ac.cross)
+            w = segments(col, ac.cross, vocab.add_dummy_prefix)
             n, s = ac.counts(w.vocab)
             null = pc.is_null(col).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(w.sums(n), pa.int64(), mask=null), pa.array(w.sums(s), pa.float64(), mask=null)], ["id", "n_tokens", "best_score"])

@@ -37,7 +37,7 @@ class Vocab:
         out = []
         for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types)):
             if p and t in (NORMAL, USER_DEFINED):
-                out.append((i, p.replace("▁", " ").encode(), s if t == NORMAL else len(p) * best - 0.1))
+                out.append((i, p.replace("▁", " ").encode(), s if t == NORMAL else len(p.encode()) * best - 0.1))
         return out
 
     def byte_ids(self) -> list[int]:
@@ -48,9 +48,14 @@ class Vocab:
                 ids[int(p[3:5], 16)] = i
         return ids
 
-    def crosses_blanks(self) -> bool:
-        """Whether a piece holds a blank after another character, so that words can't be taken one by one."""
-        return any(b" " in p.lstrip(b" ") for _, p, _ in self.matchable())
+    def whole_texts(self) -> bool:
+        """Whether words can't be taken one by one: a piece holds a blank after another character, or scores aren't sixteenths.
+
+        The tokenizer's sums are floats over a whole text. Of sixteenths they are exact, so that a word's path is the same by itself;
+        of other numbers they are rounded by what comes before, and the rounding decides between paths that are as good.
+        """
+        items = self.matchable()
+        return any(b" " in p.lstrip(b" ") for _, p, _ in items) or any(16 * s % 1 for _, _, s in items)
 
 
 def _fields(buf: bytes):
