@@ -98,8 +98,64 @@ def _indel_windows(rows: list[tuple[str, str, np.ndarray]]) -> list[np.ndarray]:
     return np.split(200.0 * lcs / (n + size), np.cumsum([len(x) for *_, x in rows])[:-1])
 
 
+#: Characters of a step of jaro_winkler_all.
+CELLS = 1 << 21
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """A row of code points for each text, filled up with zeros."""
+    flat = np.frombuffer("".join(t.ljust(width, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return flat.reshape(len(texts), width)
+
+
+def jaro_winkler_all(a: list[str], b: list[str]) -> np.ndarray:
+    """jaro_winkler of each pair, for many pairs in step."""
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out, at = np.zeros(len(a)), 0
+    order = np.argsort(np.maximum(la, lb), kind="stable")
+    longest = np.maximum(np.maximum(la, lb)[order], 1)
+    while at < len(order):
+        ends = min(len(order), at + max(1, CELLS // int(longest[at])))
+        # the longest of a step, which is its last, decides how many it may have
+        size = max(1, int(np.searchsorted(np.arange(1, ends - at + 1) * longest[at:ends], CELLS, side="right")))
+        i = order[at : at + size]
+        at += size
+        out[i] = _together([a[j] for j in i], [b[j] for j in i], la[i], lb[i])
+    return out
+
+
+def _together(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    n, wa, wb = len(a), max(1, int(la.max())), max(1, int(lb.max()))
+    x, y = _codes(a, wa), _codes(b, wb)
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    free = np.arange(wb)[None, :] < lb[:, None]
+    taken, left, place = np.zeros((n, wb), bool), np.zeros((n, wa), bool), np.arange(wb)[None, :]
+    for i in range(wa):
+        near = free & ~taken & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach[:, None]) & (i < la)[:, None]
+        first = near.argmax(1)
+        hit = near[np.arange(n), first]
+        taken[np.flatnonzero(hit), first[hit]] = True
+        left[:, i] = hit
+    m = left.sum(1)
+    # the matched characters of both sides in order
+    width = max(1, int(m.max()) if n else 1)
+    p = np.take_along_axis(x, np.argsort(~left, axis=1, kind="stable")[:, :width], 1)
+    q = np.take_along_axis(y, np.argsort(~taken, axis=1, kind="stable")[:, :width], 1)
+    swaps = ((p != q) & (np.arange(p.shape[1])[None, :] < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - swaps) / np.maximum(m, 1)) / 3, 0.0)
+    four = min(4, wa, wb)
+    same = (x[:, :four] == y[:, :four]) & (np.arange(four)[None, :] < np.minimum(la, lb)[:, None])
+    prefix = np.cumprod(same, axis=1).sum(1)
+    equal = np.fromiter((s == t for s, t in zip(a, b)), bool, n)
+    return np.where(equal, 1.0, np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro))
+
+
 def _jw(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = jaro_winkler_all(a[known].tolist(), b[known].tolist())
+    return pd.Series(out, dtype="float64")
 
 
 def _indel(a: pd.Series, b: pd.Series) -> pd.Series:

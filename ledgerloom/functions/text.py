@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import cut
+
 SUFFIX_WORDS = "ag and capital co company corp corporation fund gmbh group holdings inc incorporated limited llc llp lp ltd management nv partners plc sa the trust".split()
 ORG_MARKS = "capital company corp fund group holdings inc l.p. llc lp ltd management partners plc trust".split()
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -16,12 +18,18 @@ PERCENT = r"[0-9]{1,3}(?:[.][0-9]{1,3})?\s*%"
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with numbers from 1 on in a total order, without one task that holds them all: ranges are sorted, counted, then numbered from their counts."""
-    placed = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_inner", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    """rows with numbers from 1 on in a total order, without one task that holds them all: ranges are sorted and written, counted, then numbered from their counts.
+
+    The ranges are written once, as their bounds are sampled and another reading of rows could part them elsewhere.
+    """
+    at = F.monotonically_increasing_id()  # the partition from bit 33 on, the place within it below
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at))
+    part = F.shiftright("_at", 33)
+    before = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     # one row for each partition
     before = before.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return placed.join(before, "_part").withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_inner", "_before")
+    inner = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + inner + 1).drop("_part", "_at", "_before")
 
 
 def stripped(c: Column) -> Column:
@@ -164,7 +172,7 @@ def ground_exact(text: Column, quote: Column) -> Column:
 
 def ground_flexible(text: Column, quote: Column) -> Column:
     """The same where white space may differ in kind and length."""
-    words = F.transform(F.split(stripped(quote), r"(?U)\s+"), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+    words = F.transform(F.split(stripped(quote), r"(?U)\s+"), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     pattern = F.array_join(words, r"(?U:\s+)")
     hit = F.regexp_substr(text, pattern)
     at = F.instr(text, hit)

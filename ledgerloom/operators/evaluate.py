@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.similarity import jw
 from . import ledger
-from .resolve import MERGE
+from .resolve import MERGE, clusters, probabilistic_clusters
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -75,3 +75,38 @@ def science(gold: DataFrame, claims: DataFrame) -> DataFrame:
 def preferred_backend(default: tuple[float, float], other: tuple[float, float]) -> str:
     """(accuracy, false merge rate) of each; the other only if strictly better, first by accuracy."""
     return "probabilistic" if (other[0], -other[1]) > (default[0], -default[1]) else "default"
+
+
+def joint_rates(gold: DataFrame, backend: str = "default") -> DataFrame:
+    """rates of gold (a, b, same) whose names are all resolved together by a backend."""
+    pairs = text.numbered(gold.distinct(), ["a", "b", "same"], "n").select((F.col("n") * 2).cast("long").alias("ra"), (F.col("n") * 2 + 1).cast("long").alias("rb"), "a", "b", "same")
+    side = lambda r, n: pairs.select(F.col(r).alias("rid"), F.col(n).alias("name"), F.lit("Organization").alias("entity_type"), F.lit(None).cast("string").alias("cik"))
+    records = side("ra", "a").unionByName(side("rb", "b"))
+    members = (probabilistic_clusters(records, train=False) if backend == "probabilistic" else clusters(records)).select("rid", "cluster")
+    rows = pairs.join(members.toDF("ra", "ca"), "ra").join(members.toDF("rb", "cb"), "rb")
+    return rates(rows.select("same", (F.col("ca") == F.col("cb")).alias("hit")))
+
+
+def compare_backends(gold: DataFrame) -> DataFrame:
+    """(backend, accuracy, false_merge_rate, missed_merge_rate, recommended); a backend that fails has -1 and is never recommended."""
+    found: dict[str, tuple] = {}
+    for backend in ("default", "probabilistic"):
+        try:
+            r = joint_rates(gold, backend).first()
+            found[backend] = (r["accuracy"], r["false_merge_rate"], r["missed_merge_rate"])
+        except Exception:  # the comparison goes on without it
+            found[backend] = (-1.0, 1.0, 1.0)
+    best = preferred_backend(found["default"][:2], found["probabilistic"][:2])
+    return gold.sparkSession.createDataFrame([(b, *map(float, v), b == best) for b, v in found.items()], "backend string, accuracy double, false_merge_rate double, missed_merge_rate double, recommended boolean")
+
+
+def evaluate_all(**parts: DataFrame) -> DataFrame:
+    """(eval, metrics) of the evaluations that are given as frames of one row, by name, and of er_backends as one metric for each backend's rate."""
+    out = None
+    for name, df in parts.items():
+        if name == "er_backends":
+            rows = df.select(F.concat(F.lit("er_backend_"), "backend").alias("eval"), F.create_map(*(x for c in ("accuracy", "false_merge_rate", "missed_merge_rate") for x in (F.lit(c), F.col(c))), F.lit("recommended"), F.col("recommended").cast("double")).alias("metrics"))
+        else:
+            rows = df.limit(1).select(F.lit(name).alias("eval"), F.create_map(*(x for c in df.columns for x in (F.lit(c), F.col(c).cast("double")))).alias("metrics"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -84,11 +84,14 @@ def supersession_summary(claims: DataFrame) -> DataFrame:
 
 
 def value_signature(qualifiers: Column) -> Column:
-    """The value qualifiers that are present, in order; absent, null and a value differ, 5 is 5.0 and not '5'."""
+    """The value qualifiers that are present at the top level, in order; absent, null and a value differ, 5 is 5.0 and not '5'. No JSON: none is present."""
+    top = F.try_parse_json(qualifiers)
+
     def one(key: str) -> Column:
-        raw = F.regexp_extract(qualifiers, f'"{key}"\\s*:\\s*("(?:[^"\\\\\\\\]|\\\\\\\\.)*"|[^,}}\\s]+)', 1)
-        kind = F.when(raw.startswith('"'), F.concat(F.lit("s"), raw)).when(raw == "null", "null").otherwise(F.concat(F.lit("n"), F.coalesce(raw.try_cast("double").cast("string"), raw)))
-        return F.when(raw != "", F.concat(F.lit(f"{key}="), kind))
+        x = F.try_variant_get(top, f"$.{key}", "variant")
+        number = F.try_variant_get(x, "$", "double")
+        kind = F.when(F.is_variant_null(x), "null").when(F.schema_of_variant(x) == "STRING", F.concat(F.lit("s"), F.to_json(x))).when(number.isNotNull(), F.concat(F.lit("n"), number.cast("string"))).otherwise(F.concat(F.lit("o"), F.to_json(x)))
+        return F.when(x.isNotNull(), F.concat(F.lit(f"{key}="), kind))
     return F.concat_ws(";", *map(one, VALUE_KEYS))
 
 

@@ -32,14 +32,19 @@ def candidates(records: DataFrame, least: float, most: float | None = None) -> D
 
     The similarity is taken once for each pair of distinct normalised names, not for each pair of records.
     """
-    k = keyed(records)
-    pairs = _pairs(k, ["entity_type", "block"]).filter(compatible(F.col("a.cik"), F.col("b.cik")))
-    pairs = pairs.select(F.col("a.rid").alias("rid_a"), F.col("b.rid").alias("rid_b"), F.least("a.norm", "b.norm").alias("x"), F.greatest("a.norm", "b.norm").alias("y"), F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
-    scores = pairs.select("x", "y").distinct().withColumn("score", jw(F.col("x"), F.col("y")))
+    k = cut(keyed(records))
+    n = k.select("entity_type", "block", "norm").distinct()
+    near = n.toDF("entity_type", "block", "x").join(n.toDF("entity_type", "block", "y"), ["entity_type", "block"]).filter("x <= y")
+    near = near.repartition("entity_type", "block", "x").withColumn("score", jw(F.col("x"), F.col("y")))
     hit = F.col("score") >= least
     if most is not None:
         hit &= F.col("score") < most
-    return pairs.join(scores.filter(hit), ["x", "y"]).select("rid_a", "rid_b", "score", "core_a", "core_b")
+    side = lambda r, v: k.select("entity_type", "block", F.col("norm").alias(v), F.col("rid").alias(f"r{r}"), F.col("core").alias(f"c{r}"), F.col("cik").alias(f"k{r}"))
+    rows = near.filter(hit).join(side("a", "x"), ["entity_type", "block", "x"]).join(side("b", "y"), ["entity_type", "block", "y"])
+    rows = rows.filter(compatible(F.col("ka"), F.col("kb")) & (F.col("ra") != F.col("rb")) & ((F.col("x") != F.col("y")) | (F.col("ra") < F.col("rb"))))
+    swap = F.col("ra") > F.col("rb")
+    pick = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+    return rows.select(pick("ra", "rb", "rid_a"), pick("rb", "ra", "rid_b"), "score", pick("ca", "cb", "core_a"), pick("cb", "ca", "core_b"))
 
 
 def _decided(pairs: DataFrame, decisions: DataFrame | None) -> DataFrame:
@@ -108,20 +113,23 @@ def probabilistic_pairs(records: DataFrame, m: tuple = M_WEIGHTS, u: tuple = U_W
 
 
 def fit_weights(records: DataFrame, rounds: int = 5) -> tuple[tuple, tuple]:
-    """m and u by expectation maximisation over the pairs of a block; each round is one aggregation over the levels' counts."""
+    """m by expectation maximisation over the pairs of a block, from one aggregation of their levels' counts.
+
+    u is how often records that don't match agree; within a block nearly all do, so it stays what it is among all pairs.
+    """
     k = keyed(records).withColumn("four", F.substring("norm", 1, 4))
     s = jw(F.col("a.norm"), F.col("b.norm"))
     level = F.when(F.col("a.norm") == F.col("b.norm"), 0).when(s >= MERGE, 1).when(s >= GREY, 2).otherwise(3)
     n = [0.0] * 4
     for r in _pairs(k, ["four"]).select(level.alias("level")).groupBy("level").count().collect():
         n[r["level"]] = float(r["count"])
-    m, u, prior = list(M_WEIGHTS), list(U_WEIGHTS), PRIOR
+    m, u, prior = list(M_WEIGHTS), [x / sum(U_WEIGHTS) for x in U_WEIGHTS], PRIOR
     if not sum(n):
-        return M_WEIGHTS, U_WEIGHTS
+        return M_WEIGHTS, tuple(u)
     for _ in range(rounds):
         p = [prior * a / (prior * a + (1 - prior) * b) for a, b in zip(m, u)]
-        hit, miss = [x * q for x, q in zip(n, p)], [x * (1 - q) for x, q in zip(n, p)]
-        m, u = [(x + 1e-6) / (sum(hit) + 4e-6) for x in hit], [(x + 1e-6) / (sum(miss) + 4e-6) for x in miss]
+        hit = [x * q for x, q in zip(n, p)]
+        m = [(x + 1e-6) / (sum(hit) + 4e-6) for x in hit]
         prior = min(max(sum(hit) / sum(n), 1e-6), 0.5)
     return tuple(m), tuple(u)
 
@@ -211,22 +219,68 @@ def header_records(filings: DataFrame, mentions: DataFrame) -> DataFrame:
     return m.unionByName(side("filers", 1, text.guess_type(F.col("p.name")))).unionByName(side("subject_companies", 2, F.lit("Organization"))).filter("name is not null")
 
 
-def resolve(records: DataFrame, existing: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
-    """(rid, entity_id, confidence): clusters matched to existing entities by cik, then by type and core of the canonical name or an alias;
-    clusters of one type and core, and those of one cik, share a new id."""
-    members = cut(clusters(records, decisions))
+def name_index(entities: DataFrame) -> DataFrame:
+    """(type, core, by_name): the least id of the entities that have a core among their names."""
+    named = entities.select("type", "id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("n"))
+    return named.select("type", text.core(F.col("n")).alias("core"), "id").groupBy("type", "core").agg(F.min("id").alias("by_name"))
+
+
+def placed(records: DataFrame, existing: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, entity_id, known, type, canonical_name, aliases, cik): clusters matched to existing entities by cik, then by type and core of the
+    canonical name or an alias; clusters of one type and core, and those of one cik, share a new id."""
     names = canonical(records, members).join(records.join(members, "rid").groupBy("cluster").agg(F.min_by("entity_type", "rid").alias("type")), "cluster")
-    sure = confidence(records, members)
     by_cik = existing.filter("external_ids['cik'] is not null").groupBy(F.expr("external_ids['cik']").alias("cik")).agg(F.min("id").alias("by_cik"))
-    index = existing.select("type", "id", F.explode(F.concat(F.array("canonical_name"), "aliases")).alias("n")).select("type", text.core(F.col("n")).alias("core"), "id").groupBy("type", "core").agg(F.min("id").alias("by_name"))
-    probe = names.select("cluster", "type", F.posexplode(F.concat(F.array("canonical_name"), "aliases")).alias("pos", "n")).withColumn("core", text.core(F.col("n"))).join(index, ["type", "core"])
+    probe = names.select("cluster", "type", F.posexplode(F.concat(F.array("canonical_name"), "aliases")).alias("pos", "n")).withColumn("core", text.core(F.col("n"))).join(name_index(existing), ["type", "core"])
     probe = probe.groupBy("cluster").agg(F.min_by("by_name", "pos").alias("by_name"))
-    rows = names.join(by_cik, "cik", "left").join(probe, "cluster", "left").withColumn("known", F.coalesce("by_cik", F.when(F.col("cik").isNull(), F.col("by_name")))).withColumn("key", F.coalesce(F.concat(F.lit("cik:"), "cik"), F.concat(F.col("type"), F.lit(":"), text.core(F.col("canonical_name")))))
+    rows = cut(names.join(by_cik, "cik", "left").join(probe, "cluster", "left").withColumn("known", F.coalesce("by_cik", F.when(F.col("cik").isNull(), F.col("by_name")))).withColumn("key", F.coalesce(F.concat(F.lit("cik:"), "cik"), F.concat(F.col("type"), F.lit(":"), text.core(F.col("canonical_name"))))))
     new = rows.filter("known is null").groupBy("key").agg(F.min_by("type", "cluster").alias("type"), F.min("cluster").alias("first"))
     top = existing.agg(F.max(F.regexp_extract("id", "([0-9]+)$", 1).cast("long"))).first()[0] or 0
     new = text.numbered(new, ["first"], "n").select("key", entity_id(F.col("type"), F.col("n") + top).alias("made"))
-    ids = rows.join(new, "key", "left").select("cluster", F.coalesce("known", "made").alias("entity_id"))
-    return members.join(ids, "cluster").join(sure, "cluster").select("rid", "entity_id", "confidence")
+    return rows.join(new, "key", "left").select("cluster", F.coalesce("known", "made").alias("entity_id"), F.col("known").isNotNull().alias("known"), "type", "canonical_name", "aliases", "cik")
+
+
+def resolve(records: DataFrame, existing: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """(rid, entity_id, confidence) by placed."""
+    members = cut(clusters(records, decisions))
+    return members.join(placed(records, existing, members).select("cluster", "entity_id"), "cluster").join(confidence(records, members), "cluster").select("rid", "entity_id", "confidence")
+
+
+def materialize(records: DataFrame, existing: DataFrame, decisions: DataFrame | None = None, *, backend: str = "default") -> tuple[DataFrame, DataFrame]:
+    """(entities, links): existing entities with the aliases that their clusters add, and those of the clusters without one; links as resolve gives them."""
+    if backend == "probabilistic":
+        sure = cut(probabilistic_clusters(records))
+        members, sure = sure.select("rid", "cluster"), sure.select("cluster", "confidence").distinct()
+    else:
+        members = cut(clusters(records, decisions))
+        sure = confidence(records, members)
+    p = cut(placed(records, existing, members))
+    links = members.join(p.select("cluster", "entity_id"), "cluster").join(sure, "cluster").select("rid", "entity_id", "confidence")
+    grown = p.filter("known").groupBy(F.col("entity_id").alias("id")).agg(F.flatten(F.collect_list("aliases")).alias("_more"))
+    old = existing.join(grown, "id", "left")
+    old = old.withColumn("aliases", F.array_sort(F.array_remove(F.array_distinct(F.concat("aliases", F.coalesce("_more", F.array().cast("array<string>")))), F.col("canonical_name")))).drop("_more")
+    made = p.filter("not known").groupBy(F.col("entity_id").alias("id")).agg(F.min_by("type", "cluster").alias("type"), F.min_by("canonical_name", "cluster").alias("canonical_name"), F.flatten(F.collect_list(F.concat("aliases", F.array("canonical_name")))).alias("all"), F.min("cik").alias("cik"))
+    ids = F.when(F.col("cik").isNotNull(), F.create_map(F.lit("cik"), F.col("cik"))).otherwise(F.create_map().cast("map<string,string>"))
+    new = made.select("id", "type", "canonical_name", F.array_sort(F.array_remove(F.array_distinct("all"), F.col("canonical_name"))).alias("aliases"), ids.alias("external_ids"))
+    return old.select(*new.columns).unionByName(new), links
+
+
+TRAIN_FROM = 500
+
+
+def probabilistic_clusters(records: DataFrame, *, train: bool | None = None) -> DataFrame:
+    """(rid, cluster, confidence): closure of the pairs that probably match and the star of each cik; the weights are fitted from TRAIN_FROM records on.
+
+    Reviewers' decisions don't count here. Confidence is 1 with a cik or a single member, else 0.9.
+    """
+    if train is None:
+        train = records.limit(TRAIN_FROM).count() >= TRAIN_FROM
+    m, u = fit_weights(records) if train else (M_WEIGHTS, U_WEIGHTS)
+    first = records.filter("cik is not null").groupBy("cik").agg(F.min("rid").alias("rid_a"))
+    star = records.join(first, "cik").filter("rid <> rid_a").select("rid_a", F.col("rid").alias("rid_b"))
+    comp = connected_components(probabilistic_pairs(records, m, u).select("rid_a", "rid_b").unionByName(star), src="rid_a", dst="rid_b")
+    rows = records.select("rid", "cik").join(comp, F.col("rid") == F.col("node"), "left").select("rid", "cik", F.coalesce("component", "rid").alias("cluster"))
+    sure = rows.groupBy("cluster").agg(F.when(F.max("cik").isNotNull() | (F.count(F.lit(1)) == 1), 1.0).otherwise(0.9).alias("confidence"))
+    return rows.join(sure, "cluster").select("rid", "cluster", "confidence")
 
 
 def header_cik_lookup(filings: DataFrame) -> DataFrame:

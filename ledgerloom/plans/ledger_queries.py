@@ -156,7 +156,6 @@ Q = {
     "alerts_contradiction": (lambda s, d: alerts.contradiction(stored_contradictions(s, d), V.claims(s, d), V.watches(s)), f"{_with(V.CLAIMS, V.RECONCILED, V.ENTITIES, V.WATCHES, _contra('reconciled'), STORED, ALERT)} select * from clash"),
     "alerts_all": (fired, f"{_with(V.CLAIMS, V.RECONCILED, V.ENTITIES, V.WATCHES, _contra('reconciled'), STORED, ALERT)} select watch_id, dedup_key, min(message) as message from (from stake union all from fresh union all from clash) group by 1, 2"),
     "alerts_dedupe": (alerts_dedupe, f"{_with(V.CLAIMS, V.RECONCILED, V.ENTITIES, V.WATCHES, _contra('reconciled'), STORED, ALERT)} select watch_id, dedup_key, min(message) as message from (from stake union all from fresh union all from clash) where right(dedup_key, 1) in ('0', '2', '4', '6', '8') group by 1, 2"),
-    "latest_alerts": (lambda s, d: V.claims(s, d).orderBy(F.desc("asserted_at"), F.desc("id")).limit(50).select("id", "subject_id", "asserted_at"), f"{_with(V.CLAIMS)} select id, subject_id, asserted_at from claim order by asserted_at desc, id desc limit 50"),
     "open_contradictions_latest": (top_suggestions, f"{_with(V.CLAIMS, V.RECONCILED, _contra('reconciled'), STORED)} select * from stored where status = 'open' order by id desc limit 100"),
 }
 for _name, _days in {

@@ -122,9 +122,15 @@ def ground_exact(spark, d):
 
 
 def ground_flexible(spark, d):
-    """Only the part of the quote between its first and last blank, written with double blanks."""
-    q = _quotes(spark, d).withColumn("wide", F.regexp_extract("wide", r"[^ \n]+  [^ \n]+", 0)).filter("wide <> ''")
-    return q.withColumn("g", text.ground_flexible(F.col("text"), F.col("wide"))).select("id", "g.start", "g.end", "g.snippet")
+    """The whole quote, written with double blanks."""
+    return _quotes(spark, d).withColumn("g", text.ground_flexible(F.col("text"), F.col("wide"))).select("id", "g.start", "g.end", "g.snippet")
+
+
+def ground_quote(spark, d):
+    """The three steps together: of each three documents one quote as it is, one with double blanks, and one whose predicate nobody knows."""
+    q = _quotes(spark, d)
+    claims = q.select(F.col("id").alias("document_id"), F.when(F.col("id") % 3 == 2, "LIKES").otherwise("OWNS").alias("predicate"), F.when(F.col("id") % 3 == 1, F.col("wide")).otherwise(F.col("quote")).alias("evidence_quote"))
+    return extract.grounded(claims, q.select("id", "text")).select(F.col("document_id").alias("id"), "span.start", "span.end", "span.snippet")
 
 
 def ground_fuzzy(spark, d):
@@ -133,6 +139,10 @@ def ground_fuzzy(spark, d):
     return V.documents(spark, d).select("id", similarity.ground_fuzzy(F.col("text"), q).alias("g")).select("id", "g.start", "g.end", "g.snippet")
 
 
+_WIDE = """q as (select id, text, regexp_replace(substr(text, 5, 40), '^\\s+|\\s+$', '', 'g') as q from document),
+h as (select id, text, q, case when q = '' then '' else regexp_extract(text, array_to_string(list_transform(regexp_split_to_array(q, '\\s+'), lambda w: regexp_escape(w)), '\\s+'), 0) end as hit from q)"""
+
+
 def work_render(spark, d):
     return extract.render_works(V.works(spark, d)).select("id", "text")
 
@@ -243,7 +253,8 @@ select 'ORG_' || lpad(cast(case when s_suppkey % 2 = 0 then s_suppkey else top +
     "cusip_extract": (lambda s, d: parsed(s, d).select("id", "cusip.cusip", "cusip.valid"), f"{_w(V.COVERS)} select id, cusip, true as valid from cover"),
     "rule_claims": (rule_claims, f"{_w(SCORED)}, best as (select id, arg_max(value, (score, -start)) as value, arg_max(substr(text, start + 1, \"end\" - start), (score, -start)) as quote from scored where round(score, 4) > 0 group by 1), f as (select id, filer_name as f from cover union all select id, 'Partner of ' || filer_name from cover) select id as document_id, f as subject_surface, 'OWNS' as predicate, issuer_name as object_surface, value as stake_pct, strftime(event_date, '%B ') || cast(day(event_date) as varchar) || strftime(event_date, ', %Y') as event_date, cusip, cast(event_date as varchar) as valid_from, case when value is null then 0.6 else 0.9 end as confidence, coalesce(quote, issuer_name) as evidence_quote from f join cover using (id) left join best using (id)"),
     "ground_exact": (ground_exact, f"{_w(V.DOCUMENTS)}, q as (select id, text, regexp_replace(substr(text, 5, 40), '^\\s+|\\s+$', '', 'g') as q from document) select id, case when instr(text, q) > 0 and q <> '' then instr(text, q) - 1 end as start, case when instr(text, q) > 0 and q <> '' then instr(text, q) - 1 + length(q) end as \"end\", case when instr(text, q) > 0 and q <> '' then q end as snippet from q"),
-    "ground_whitespace": (ground_flexible, f"{_w(V.DOCUMENTS)}, q as (select id, text, regexp_extract(regexp_replace(substr(text, 5, 40), ' ', '  ', 'g'), '[^ \\n]+  [^ \\n]+', 0) as w from document), h as (select id, text, regexp_extract(text, regexp_escape(string_split(w, '  ')[1]) || '\\s+' || regexp_escape(string_split(w, '  ')[2]), 0) as hit from q where w <> '') select id, instr(text, hit) - 1 as start, instr(text, hit) - 1 + length(hit) as \"end\", hit as snippet from h"),
+    "ground_whitespace": (ground_flexible, f"{_w(V.DOCUMENTS, _WIDE)} select id, case when hit <> '' then instr(text, hit) - 1 end as start, case when hit <> '' then instr(text, hit) - 1 + length(hit) end as \"end\", nullif(hit, '') as snippet from h"),
+    "ground_quote": (ground_quote, f"{_w(V.DOCUMENTS, _WIDE)}, g as (select id, text, case when id % 3 = 0 then q else hit end as hit from h where id % 3 < 2) select id, instr(text, hit) - 1 as start, instr(text, hit) - 1 + length(hit) as \"end\", hit as snippet from g where hit <> '' and instr(text, hit) > 0"),
     "ground_fuzzy": (ground_fuzzy, None),
     "work_render": (work_render, f"{_w(WORKS)} select id, text from rendered"),
     "abstract_rebuild": (abstract_rebuild, f"{_w(WORKS)} select id, abstract from work"),
