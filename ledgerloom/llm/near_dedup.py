@@ -5,9 +5,11 @@
 2. Of each bucket (band and key) the least id leads; the others are its candidates. Signatures are compared batch by batch, and
    a pair goes once the posterior probability that its similarity reaches the threshold, given the matches so far
    and a uniform prior, is below the miss probability. Survivors are verified on their whole sets of shingles.
-3. After components of the verified pairs are known, the pairs of a bucket that are in two components and weren't compared yet are
-   put through the same, all of them. So the groups are those that comparing every pair of every bucket would give,
-   yet a bucket of n copies costs n comparisons and not n squared.
+3. Where a bucket is in several components, the least of each of its largest components is put to the bucket's other components; this, too, is
+   linear in the bucket. Components are taken anew.
+4. What then is still in two components of a bucket is compared in blocks of signatures, all of it: a task gets two blocks of rows, not their pairs, and
+   gives out those that survive. Blocks within one component never meet. So the groups are those that comparing every pair of every bucket
+   would give, yet a bucket of n copies costs n comparisons and not n squared, and no bucket is in one task.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, cut, drop_cut
+from ..functions.text import numbered
 from .common import Words, as_string, mix, slices, table, word_hashes, words
 
 SHINGLE, BANDS, ROWS, THRESHOLD, MISS, BATCH = 3, 40, 4, 0.5, 0.01, 32
+#: Components of a bucket that have a leader in the second pass, and rows of a block in the third.
+LEADERS, BLOCK = 8, 2048
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»¿¡…“”„‚‘’–—"
 PER_LEADER = 2000
 _R = np.random.default_rng(5)
@@ -97,9 +102,11 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def least_matches(threshold: float = THRESHOLD, miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, matches below which a pair goes).
 
-    With a uniform prior, m matches of n give Beta(m + 1, n - m + 1); P(similarity >= t) = P(Binomial(n + 1, t) <= m).
+    With a uniform prior, m matches of n give Beta(m + 1, n - m + 1); P(similarity >= t) = P(Binomial(n + 1, t) <= m). A pair is looked at
+    several times; each look has its share of the miss probability, which is so that of all together at most.
     """
     out = []
+    miss /= BANDS * ROWS // BATCH
     for n in range(BATCH, BANDS * ROWS + 1, BATCH):
         m = total = 0
         while True:
@@ -189,6 +196,99 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def _split(live: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, id, c) of the buckets that are in several components."""
+    named = live.join(comp, live["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return cut(named.join(several, "key"))
+
+
+def _second(live: DataFrame, first: DataFrame, sigs: DataFrame, edges: DataFrame, comp: DataFrame, source: DataFrame, reps: DataFrame, threshold: float, miss: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The open buckets, components and edges after the leaders of each bucket's largest components have met the others."""
+    open_ = _split(live, comp)
+    parts = open_.groupBy("key", "c").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n"))
+    pairs = open_.join(_largest(cut(parts)), "key").filter("c <> lc").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = cut(_prune(cut(pairs), sigs, threshold, miss))
+    if more.isEmpty():
+        return open_, comp, edges
+    edges = cut(edges.unionByName(_verify(more, source, reps, threshold)))
+    comp = cut(connected_components(edges, src="a", dst="b"))
+    return _split(open_.select("key", "id"), comp), comp, edges
+
+
+def _largest(parts: DataFrame) -> DataFrame:
+    """(key, lc, a): the leaders of LEADERS components of each key, by rounds of maxima, so that no key's components are held together."""
+    out, rest = None, parts
+    for _ in range(LEADERS):
+        top = rest.groupBy("key").agg(F.max(F.struct("n", "a", "c")).alias("t"))
+        pick = top.select("key", F.col("t.c").alias("lc"), "t.a")
+        out = pick if out is None else out.unionByName(pick)
+        rest = rest.join(pick.select("key", F.col("lc").alias("c")), ["key", "c"], "left_anti")
+    return out
+
+
+def _blocks(open_: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(a, b), a < b, of the pairs of a bucket in two components that signatures don't rule out; blocks meet in tasks of their own."""
+    kind = open_.schema["id"].dataType.simpleString()
+    steps = least_matches(threshold, miss)
+    # a place of each row in its bucket, the components one after the other
+    order = ["key", "c", "id"]
+    rows = numbered(open_, order, "at")
+    begin = rows.groupBy("key").agg(F.min("at").alias("begin"))
+    rows = cut(rows.join(begin, "key").withColumn("block", F.floor((F.col("at") - F.col("begin")) / BLOCK).cast("int")).select("key", "id", "c", "block"))
+    spans = rows.groupBy("key", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    most = spans.groupBy("key").agg((F.max("block") + 1).alias("blocks"), F.min("lo").alias("first"))
+    left = spans.join(most, "key").select("key", F.col("block").alias("x"), "lo", "hi", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = spans.select("key", F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    meet = left.join(right, ["key", "y"]).filter("lo <> hi2 or hi <> lo2").select("key", "x", "y")
+    ends = meet.select("key", "x", "y", F.col("x").alias("block"), F.lit(0).alias("side")).unionByName(meet.filter("x <> y").select("key", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side")))
+    held = rows.join(sigs.select("id", "sig"), "id").join(ends, ["key", "block"]).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side").select("key", "x", "y", "side", "id", "c", "sig")
+
+    def compare(p: pa.Table, q: pa.Table) -> tuple[pa.Array, pa.Array]:
+        s, t = (np.frombuffer(b"".join(v.column("sig").to_pylist()), np.uint16).reshape(v.num_rows, -1) for v in (p, q))
+        both = pa.chunked_array([*p.column("c").chunks, *q.column("c").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        cp, cq = both[: p.num_rows], both[p.num_rows :]
+        found_i, found_j = [], []
+        for i in range(0, p.num_rows, 256):
+            hits, (n, m) = np.zeros((len(s[i : i + 256]), len(t)), np.uint8), steps[0]
+            for k in range(n):
+                hits += s[i : i + 256, k, None] == t[None, :, k]
+            u, v = np.nonzero((hits >= m) & (cp[i : i + 256, None] != cq[None, :]))
+            hits = hits[u, v].astype(np.int64)
+            for (before, _), (n, m) in zip(steps, steps[1:]):
+                hits += (s[i + u, before:n] == t[v, before:n]).sum(1)
+                ok = hits >= m
+                u, v, hits = u[ok], v[ok], hits[ok]
+            found_i.append(i + u), found_j.append(v)
+        pick = lambda w, f: w.column("id").combine_chunks().take(pa.array(np.concatenate(f)))
+        return pick(p, found_i), pick(q, found_j)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if sides[0]:
+                p = pa.Table.from_batches(sides[0])
+                a, b = compare(p, pa.Table.from_batches(sides[1]) if sides[1] else p)
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+        for b in batches:
+            keys = np.stack([b.column(n).to_numpy().astype(np.int64) for n in ("key", "x", "y", "side")], 1)
+            cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(1)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if j == i:
+                    continue
+                k = tuple(keys[i, :3])
+                if k != now:
+                    yield from answer()
+                    now, sides = k, ([], [])
+                sides[keys[i, 3]].append(b.slice(i, j - i))
+        yield from answer()
+
+    pairs = held.mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(id, group_id, group_size) of the ids that are in a group of two or more; group_id is the least id of the group.
 
@@ -210,13 +310,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = cut(live.filter("id <> a").select("a", F.col("id").alias("b")).distinct())
     edges = cut(_verify(cut(_prune(first, sigs, threshold, miss)), source, reps, threshold))
     comp = cut(connected_components(edges, src="a", dst="b"))
-    # what is left: pairs of a bucket in two components that no leader compared
-    named = live.join(comp, live["id"] == comp["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    split = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = cut(named.join(split, "key"))
-    x, y = (open_.select("key", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("u", "cu"), ("v", "cv")))
-    rest = x.join(y, "key").filter("u < v and cu <> cv").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    left = cut(_prune(cut(rest), sigs, threshold, miss))
+    open_, comp, edges = _second(live, first, sigs, edges, comp, source, reps, threshold, miss)
+    left = cut(_blocks(open_, sigs, threshold, miss).join(first, ["a", "b"], "left_anti"))
     if not left.isEmpty():
         edges = edges.unionByName(_verify(left, source, reps, threshold))
         comp = cut(connected_components(edges, src="a", dst="b"))
@@ -226,7 +321,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of docs, all columns, but for the ids that are in a group and not its least id. Rows with a null id stay."""
+    """The rows of docs, all columns, but for the ids that are in a group and not its least id.
+
+    Rows with a null id or text, and texts without words, stay; so do all rows that repeat the id of a document that stays. Equal texts are one
+    group whatever their number. Extra columns, whatever their names, are kept as they are; an empty table stays empty.
+    """
     gone = near_duplicates(docs, id_col=id_col, **kw).filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("gone_id"))
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 

@@ -66,6 +66,48 @@ def test_minhash_edges(spark):
     assert {r.group_id for r in near_dedup.near_duplicates(near).collect()} == {0}
 
 
+def test_one_bucket_of_two_large_components(spark):
+    """50,000 rows of one bucket in two components that have nothing else in common, and a link between two of them that no leader is an end of."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    n, width = 50_000, near_dedup.BANDS * near_dedup.ROWS
+    half = rng.integers(0, 1 << 16, (2, width), dtype=np.uint16)
+    sig = half[np.arange(n) % 2]
+    noise = rng.random(sig.shape) < 0.1
+    sig = np.where(noise, rng.integers(0, 1 << 16, sig.shape, dtype=np.uint16), sig)
+    sig[:, :4] = 7  # the band that all share
+    sig[30_001] = sig[20_000]
+    t = pa.table({"id": np.arange(n), "sig": pa.array([x.tobytes() for x in sig], pa.binary())})
+    sigs = spark.createDataFrame(t)
+    open_ = spark.createDataFrame(pa.table({"key": np.zeros(n, np.int64), "id": np.arange(n), "c": np.arange(n) % 2}))
+    got = {(r.a, r.b) for r in near_dedup._blocks(open_, sigs, 0.5, 0.01).collect()}
+    # rows of component 1 that are like the row that crossed over, and the other way about
+    assert (20_000, 30_001) in got and all(30_001 in p for p in got) and len(got) >= 24_000
+
+
+def test_leaders_and_blocks_find_what_all_pairs_would(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts, words = [], [f"w{i}" for i in range(400)]
+    for g in range(12):
+        base = rng.choice(words, 60).tolist()
+        for _ in range(14):  # each a little further from the one before, so that ends of a chain aren't alike
+            for k in rng.integers(0, 60, 4):
+                base[int(k)] = str(rng.choice(words))
+            texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
+    got = {r.doc_id: r.group_id for r in near_dedup.near_duplicates(messy(spark, rows)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    import pyarrow as pa
+
+    s, off = near_dedup.shingles(pa.array(texts))
+    bands = near_dedup.band_keys(near_dedup.signatures(s, off))
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if (bands[i] == bands[j]).any() and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])]
+    assert got == groups(range(len(rows)), edges)
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     base = rng.normal(size=(1500, 32))
