@@ -415,12 +415,16 @@ TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(),
 
 
 def write_blocks(decoded: DataFrame, path: str, *, id_col: str = "clip_id") -> None:
-    """PCM blocks as Parquet, sorted within files by id and first sample, so that row groups are skipped when a reader seeks."""
-    decoded.filter("pcm is not null").repartition(id_col).sortWithinPartitions(id_col, "first_sample").write.mode("overwrite").parquet(path)
+    """PCM blocks as Parquet, sorted within files by id and first sample, so that row groups are skipped when a reader seeks.
+
+    Rows without samples (damaged, null or foreign) aren't written; those that repeat a block are, each. A null id is written under null. An empty table gives
+    an empty folder of the same schema. Clips are spread by id and first sample, so that one of any length is in many files.
+    """
+    decoded.filter("pcm is not null").repartitionByRange(id_col, "first_sample").sortWithinPartitions(id_col, "first_sample").write.mode("overwrite").parquet(path)
 
 
 def seek(blocks: DataFrame, clip, first: int, n: int, *, id_col: str = "clip_id") -> DataFrame:
-    """The blocks that hold the samples first .. first + n of a clip, with the part of pcm that is theirs."""
+    """The blocks that hold the samples first .. first + n of a clip, with the part of pcm that is theirs; none for an id that isn't there, null, or past the end."""
     hit = blocks.filter((F.col(id_col) == F.lit(clip)) & (F.col("first_sample") < first + n) & (F.col("first_sample") + F.col("n_samples") > first))
     lo, hi = F.greatest(F.lit(first) - F.col("first_sample"), F.lit(0)), F.least(F.lit(first + n) - F.col("first_sample"), F.col("n_samples").cast("long"))
     part = F.slice("pcm", (lo * F.col("channels") + 1).cast("int"), ((hi - lo) * F.col("channels")).cast("int"))

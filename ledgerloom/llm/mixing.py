@@ -109,7 +109,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def keep_sampled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", **kw) -> DataFrame:
-    """The rows of docs, all columns, that mix samples."""
+    """The rows of docs, all columns, that mix samples.
+
+    Nulls in any column count as there. Rows that repeat an id stay or go together, each as its own text's cell says; extra columns, whatever their
+    names, are kept as they are; an empty table stays empty.
+    """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     flat = packed.select("row", F.col(f"row.`{id_col}`").alias("id"), F.coalesce(F.col(f"row.`{source_col}`").cast("string"), F.lit("")).alias("d_source"), F.coalesce(F.col(f"row.`{lang_col}`").cast("string"), F.lit("")).alias("d_lang"), F.coalesce(lexical_topic(F.col(f"row.`{text_col}`")), F.lit("")).alias("d_topic"), token_count(F.col(f"row.`{text_col}`")).alias("n_tokens"))

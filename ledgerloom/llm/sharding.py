@@ -140,13 +140,16 @@ def pack(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["size", "rank", "n", "bin", "per_bin"]).astype("int64")
 
 
-def _ranked(groups: DataFrame) -> DataFrame:
-    """groups (group, size) with its rank among groups of its size, by group. Sorted by range, so that no size has to fit one task."""
+def _ranked(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(group, size, part, rank) with its rank among groups of its size, by group, and (size, part, before, n): the pieces of each size.
+
+    Sorted by range and group, so that no size has to fit one task.
+    """
     placed = materialize(groups.repartitionByRange("size", "group").sortWithinPartitions("size", "group").select("group", "size", F.spark_partition_id().alias("part")))
     counts = placed.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    pieces = materialize(counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     inner = placed.withColumn("inner", F.row_number().over(Window.partitionBy("size", "part").orderBy("group")) - 1)
-    return inner.join(before, ["size", "part"]).select("group", "size", (F.col("before") + F.col("inner")).alias("rank"))
+    return inner.join(pieces.drop("n"), ["size", "part"]).select("group", "size", "part", (F.col("before") + F.col("inner")).alias("rank")), pieces
 
 
 def assign(groups: DataFrame, *, group_col: str = "group", size_col: str = "size", capacity: int = CAPACITY) -> DataFrame:
@@ -164,10 +167,13 @@ def assign(groups: DataFrame, *, group_col: str = "group", size_col: str = "size
     histogram = clipped.groupBy("size").agg(F.count(F.lit(1)).alias("n")).toPandas()
     runs = pack(histogram["size"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64), capacity)
     plan = spark.createDataFrame(runs, "size long, rank long, n long, bin long, per_bin long") if len(runs) else spark.createDataFrame([], "size long, rank long, n long, bin long, per_bin long")
-    # runs start at their ranks; a group's is the last that starts at or before its own
-    starts = plan.select("size", "rank", F.struct("rank", "bin", "per_bin").alias("run"), F.lit(None).cast(sums.schema["group"].dataType).alias("group"), F.lit(0).alias("role"))
-    both = _ranked(clipped).select("size", "rank", F.lit(None).cast(starts.schema["run"].dataType).alias("run"), "group", F.lit(1).alias("role")).unionByName(starts)
-    last = F.last("run", ignorenulls=True).over(Window.partitionBy("size").orderBy("rank", "role").rowsBetween(Window.unboundedPreceding, 0))
+    # runs start at their ranks; a group's is the last that starts at or before its own. Each piece of a size gets the runs that reach into it
+    ranked, pieces = _ranked(clipped)
+    none = F.lit(None).cast(sums.schema["group"].dataType)
+    starts = plan.join(pieces.withColumnRenamed("n", "m"), "size").filter((F.col("rank") < F.col("before") + F.col("m")) & (F.col("rank") + F.col("n") > F.col("before")))
+    starts = starts.select("size", "part", F.greatest("rank", "before").alias("rank"), F.struct("rank", "bin", "per_bin").alias("run"), none.alias("group"), F.lit(0).alias("role"))
+    both = ranked.select("size", "part", "rank", F.lit(None).cast(starts.schema["run"].dataType).alias("run"), "group", F.lit(1).alias("role")).unionByName(starts)
+    last = F.last("run", ignorenulls=True).over(Window.partitionBy("size", "part").orderBy("rank", "role").rowsBetween(Window.unboundedPreceding, 0))
     shard = both.withColumn("last", last).filter("role = 1").select("group", (F.col("last.bin") + F.floor((F.col("rank") - F.col("last.rank")) / F.col("last.per_bin"))).alias("shard"))
     out = sums.join(shard, sums["group"].eqNullSafe(shard["group"])).select(sums["group"].alias(group_col), sums["size"].alias(size_col), "shard")
     return out

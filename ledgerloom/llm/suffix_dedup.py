@@ -250,7 +250,9 @@ def find_repeats(docs: DataFrame, *, id_col: str = "doc_id", **kw) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **kw) -> DataFrame:
     """The rows of docs, all columns, without the words of their spans that aren't original; of a text that is copied whole nothing
-    is left, and its row goes. count_col, where there is one, becomes the characters left. Rows with a null id or text stay as they are."""
+    is left, and its row goes. count_col, where there is one, becomes the characters left. Rows with a null id or text stay as they are, and so do
+    texts without a repeat, empty and very long ones included. Of repeats the least (id, place) stays whole. Rows that repeat an id are cut alike, each at the
+    words that its text has there. Extra columns, whatever their names, are kept; an empty table stays empty."""
     spans = repeated_spans(docs, id_col=id_col, text_col=text_col, **kw).filter("not original")
     own, cut = _unused("_cut_id", docs), _unused("_cut", docs)
     lists = spans.groupBy(F.col("id").alias(own)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))

@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A text's features are the character n-grams of its lower-cased words; each has a vector, a text is their average, and a
-softmax over a linear map of it gives the classes. A word that occurs n times counts 1 + ln n, and PRIOR n-grams with a zero
+softmax over a linear map of it gives the classes. A word that occurs n times, with the same marks at its ends, counts 1 + ln n, and PRIOR n-grams with a zero
 vector join each average, so that neither a line repeated a thousand times nor a text of three words decides by one vector. Vectors and map are fitted together by Adagrad on minibatches, so
 that a misspelling the training texts lack still shares most n-gram vectors with the word it stands for.
 For prediction the map is folded into the vectors; a chunk's distinct words are summed once.
@@ -184,7 +184,11 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that the model doesn't reject; a null text stays. One pass, no shuffle or join."""
+    """The rows of docs, all columns, that the model doesn't reject. One pass, no shuffle or join.
+
+    A null text, and one without words, stays. Repeated rows and null ids are judged row by row; extra columns, whatever their names, are kept as they
+    are; an empty table stays empty. Every word of a text counts, whatever its length.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,42 @@ def test_mixing_edges(spark):
     assert kept.columns == d.columns and kept.count() == mixing.mix(d).count()
     assert mixing.mix(empty(spark)).count() == 0 and mixing.keep_sampled(empty(spark)).count() == 0
     assert {r.source for r in mixing.mix(d, targets={"source": {"s": 1.0}}, budget=1.0).collect() if r.n_tokens} <= {"s"}
+
+
+@pytest.mark.skipif(not have_tables, reason="no tables")
+def test_shards_of_documents_one_by_one(spark):
+    """The query against groups by text, packed one after the other."""
+    small = "/root/testdata/sf0.001"
+    groups = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect():
+        groups.setdefault(r.text or "", []).append(r.doc_id)
+    want = {min(ids): (len((t).encode()) * len(ids), len(ids)) for t, ids in groups.items()}
+    got = {r.doc_id: r for r in sharding.op2_bin_packing(spark, small).collect()}
+    assert {i: (r.bytes, r.n_docs) for i, r in got.items()} == want
+    fill = {}
+    for r in got.values():
+        fill[r.shard] = fill.get(r.shard, 0) + r.bytes
+    bins, left = one_by_one([s for s, _ in want.values()], sharding.CAPACITY)
+    assert (len(fill), sorted(max(sharding.CAPACITY - v, 0) for v in fill.values())) == (bins, left)
+
+
+def test_one_size_in_many_pieces(spark):
+    """Every group has one size; it is ranked, and finds its bins, range by range."""
+    rows = spark.range(1000).selectExpr("id as group", "7 as size").unionByName(spark.createDataFrame([(5000 + i, 3) for i in range(40)], "group long, size int"))
+    got = sharding.assign(rows.repartition(16), capacity=50).toPandas()
+    assert got.groupby("shard")["size"].sum().max() <= 50 and len(got) == 1040
+    assert got["shard"].nunique() == one_by_one([7] * 1000 + [3] * 40, 50)[0]
+    assert got[got["size"] == 7].sort_values("group")["shard"].is_monotonic_increasing
+
+
+def test_default_rounds_meet_the_targets(spark):
+    """What is sampled of each value is its target, but for values that are kept whole."""
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    rows = mixing.probabilities(mixing._marked(docs, "doc_id", "text", "source", "lang", None)).select(*mixing.DIMS, "n_tokens", "probability").toPandas()
+    goal = mixing.BUDGET * rows.n_tokens.sum()
+    rows["kept"] = rows.n_tokens * rows.probability
+    for d in mixing.DIMS:
+        t = rows.groupby(d)[["n_tokens", "kept"]].sum()
+        want = t.n_tokens**mixing.FLATTEN / (t.n_tokens**mixing.FLATTEN).sum() * goal
+        free = t.kept < 0.98 * t.n_tokens
+        assert (abs(t.kept - want) / want)[free].max() < 0.08, d
