@@ -10,17 +10,21 @@ ranges of about RANGE entries, so that a range is handled in numpy at once; rang
 and beyond it in files of the given folder, written and read in sequence. Common prefixes are carried along: of two suffixes
 induced in turn into one bucket it is 1 + the least value between their sources, kept for each character as a running minimum.
 Of a range, only the entries that it induces into itself need more: their order is found by pointer doubling.
+
+Nothing as long as the text is held: text, types, orders, names and prefixes are mapped files beyond the bound, read and written in blocks of BLOCK,
+and the first order of the minima comes out of a queue too. So are the few numbers for each distinct character, of which a recursion has
+as many as names. What is held is a few numbers for each range.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-RANGE = 8192
+RANGE, BLOCK = 8192, 1 << 17
 FAR = np.int32(2**31 - 1)
 ENTRY = np.dtype([("c", np.int32), ("p", np.int32), ("l", np.int32)])
 
@@ -84,16 +88,35 @@ class Store:
         return np.zeros(n, kind)
 
 
-def _types(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix is of type S, and the length of the run of its first character. The last character is the least."""
-    n = len(t)
-    change = np.flatnonzero(np.diff(t)) + 1
-    start = np.concatenate([[0], change])
-    size = np.diff(np.concatenate([start, [n]]))
-    s_run = np.ones(len(start), bool)
-    s_run[:-1] = t[start[:-1]] < t[start[1:]]
-    run = np.repeat(start + size, size) - np.arange(n)
-    return np.repeat(s_run, size), run.astype(np.int32)
+def _blocks(n: int) -> Iterator[slice]:
+    for i in range(0, n, BLOCK):
+        yield slice(i, min(n, i + BLOCK))
+
+
+def _types(t: np.ndarray, s_type: np.ndarray, run: np.ndarray) -> int:
+    """Whether each suffix is of type S, and the length of the run of its first character, block by block from the end; the number of L-types.
+
+    The last character is the least.
+    """
+    n, n_l = len(t), 0
+    after, after_s, after_run = -1, True, 0  # the character after the block, its type and run
+    for part in reversed(list(_blocks(n))):
+        x = np.asarray(t[part])
+        change = np.flatnonzero(np.diff(x)) + 1
+        start = np.concatenate([[0], change])
+        size = np.diff(np.concatenate([start, [len(x)]]))
+        s_run = np.ones(len(start), bool)
+        s_run[:-1] = x[start[:-1]] < x[start[1:]]
+        same = int(x[-1]) == after
+        s_run[-1] = after_s if same else (int(x[-1]) < after if after >= 0 else True)
+        r = np.repeat(start + size, size) - np.arange(len(x))
+        if same:
+            r[start[-1] :] += after_run
+        kinds = np.repeat(s_run, size)
+        s_type[part], run[part] = kinds, r
+        n_l += int((~kinds).sum())
+        after, after_s, after_run = int(x[0]), bool(kinds[0]), int(r[0])
+    return n_l
 
 
 def _minima(a: np.ndarray) -> list[np.ndarray]:
@@ -117,7 +140,7 @@ def _least(tab: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _induce(t, s_type, run, bounds, seeds: Iterator, down: bool, folder: str | None, memory: int, lcps: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _induce(t, s_type, run, bounds, seeds: Iterator, down: bool, folder: str | None, memory: int, lcps: bool, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """One pass. seeds gives, for each range in order, positions and common prefixes (with the seed before it) in processing order.
 
     Yields for each range (positions, common prefix with the one before, is a seed), in processing order: upwards of the L-types, each
@@ -125,9 +148,15 @@ def _induce(t, s_type, run, bounds, seeds: Iterator, down: bool, folder: str | N
     """
     sigma, ranges = int(bounds[-1]), len(bounds) - 1
     q = Queue(ranges, folder, memory)
-    since = np.full(sigma, -1, np.int32)  # least value since the last entry of a character; -1: there was none
+    # least value since the last entry of a character within its range, and that range from 1 on, 0 where there was none; least[k]: of all ranges from k on
+    since, stamp, least = store.new(sigma, np.int32), store.new(sigma, np.int32), np.full(ranges + 2, FAR, np.int32)
     flip = lambda c: sigma - 1 - c if down else c
-    range_of = np.repeat(np.arange(ranges, dtype=np.int32), np.diff(bounds))
+
+    def lately(c: np.ndarray) -> np.ndarray:
+        """The least value since each character's last entry, before this range; -1 where there was none."""
+        at = np.asarray(stamp[c])
+        return np.where(at == 0, -1, np.minimum(since[c], least[at + 1]))
+
     for r, (sp, sl) in enumerate(seeds):
         lo, hi = int(bounds[r]), int(bounds[r + 1])
         a = q.pop(r)
@@ -198,7 +227,7 @@ def _induce(t, s_type, run, bounds, seeds: Iterator, down: bool, folder: str | N
                         continue
                     w = int(val[j + 1 : k + 1].min()) if k > j else 0
                     if j < 0:
-                        w = min(w, int(since[c]))
+                        w = min(w, int(lately(np.array([c]))[0]))
                     val[i] = w + 1
         pre = pos - 1
         ok = pre >= 0
@@ -216,15 +245,16 @@ def _induce(t, s_type, run, bounds, seeds: Iterator, down: bool, folder: str | N
             tab = _minima(val)
             left = np.where(first, 0, np.r_[0, aa[:-1] + 1]) if len(aa) else aa
             got = _least(tab, left, aa) + 1 if len(aa) else np.zeros(0, np.int32)
-            old = since[cc]
+            old = lately(cc)
             got = np.where(first, np.where(old < 0, 0, np.minimum(got, np.where(old < 0, 0, old) + np.where(old == FAR, 0, 1))), got)
             ent["l"][by] = got
-            np.minimum(since, val.min(), out=since, where=since >= 0)
+            least[: r + 2] = np.minimum(least[: r + 2], val.min())
             if len(cc):
                 end = np.r_[first[1:], True]
                 tail = np.concatenate([np.minimum.accumulate(val[::-1])[::-1], [FAR]])
                 since[cc[end]] = tail[aa[end] + 1]
-        q.push(range_of[ent["c"]], ent)
+                stamp[cc[end]] = r + 1
+        q.push(np.searchsorted(bounds, ent["c"], side="right") - 1, ent)
         yield pos, val, kind == 2
     _induce.spilled += q.spilled
 
@@ -234,43 +264,84 @@ _induce.spilled = 0
 
 def _ranges(count: np.ndarray) -> np.ndarray:
     """Bounds of ranges of characters with about RANGE suffixes each."""
-    part = np.cumsum(count) // RANGE
-    cut = np.flatnonzero(np.diff(part)) + 1
-    return np.concatenate([[0], cut, [len(count)]])
+    cuts, before, last = [np.zeros(1, np.int64)], 0, None
+    for block in _blocks(len(count)):
+        x = np.cumsum(count[block]) + before
+        before = int(x[-1])
+        part = x // RANGE
+        step = np.flatnonzero(np.diff(part, prepend=part[0] if last is None else last)) + block.start
+        cuts.append(step)
+        last = part[-1]
+    return np.concatenate([*cuts, [len(count)]])
+
+
+def _upto(count: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The sum of count before each of the places, which ascend."""
+    out, before = np.zeros(len(places), np.int64), 0
+    for block in _blocks(len(count)):
+        i, j = np.searchsorted(places, [block.start + 1, block.stop + 1])
+        x = np.cumsum(count[block])
+        out[i:j] = before + x[places[i:j] - block.start - 1]
+        before += int(x[-1])
+    return out
 
 
-def _by_range(chars_sorted: np.ndarray, pos: np.ndarray, val: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    at = np.searchsorted(chars_sorted, bounds)
+def _counts(values: np.ndarray, sigma: int, store: Store, of: np.ndarray | None = None) -> np.ndarray:
+    """How often each character is among values, or among those of the text at the places values."""
+    out = store.new(sigma, np.int64)
+    for part in _blocks(len(values)):
+        c, k = np.unique(values[part] if of is None else of[values[part]], return_counts=True)
+        out[c] += k
+    return out
+
+
+def _by_range(count: np.ndarray, pos: np.ndarray, val: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted seeds by range; count: how many each character has."""
+    at = _upto(count, bounds)
     for i, j in zip(at, at[1:]):
-        yield pos[i:j], val[i:j]
+        yield np.asarray(pos[i:j]), np.asarray(val[i:j])
+
+
+def _by_character(t: np.ndarray, lms: np.ndarray, bounds: np.ndarray, folder: str | None, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The minima by their first character only, through a queue."""
+    q = Queue(len(bounds) - 1, folder, memory)
+    for part in _blocks(len(lms)):
+        ent = np.zeros(part.stop - part.start, ENTRY)
+        ent["p"] = lms[part]
+        ent["c"] = t[ent["p"]]
+        q.push(np.searchsorted(bounds, ent["c"], side="right") - 1, ent)
+    for r in range(len(bounds) - 1):
+        a = q.pop(r)
+        a = a[np.argsort(a["c"], kind="stable")]
+        yield a["p"].copy(), np.zeros(len(a), np.int32)
+    _induce.spilled += q.spilled
 
 
-def _passes(t, s_type, run, sigma: int, seeds: np.ndarray, seed_lcp: np.ndarray, folder, memory: int, lcps: bool, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All suffixes but the last, largest first, in blocks of (positions, common prefix with the one before, which is larger)."""
-    n = len(t)
-    count = np.bincount(t, minlength=sigma)
+def _passes(t, s_type, run, n_l: int, count: np.ndarray, seeds: Callable[[np.ndarray], Iterator], folder, memory: int, lcps: bool, store: Store) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All suffixes but the last, largest first, in blocks of (positions, common prefix with the one before, which is larger). seeds: by bounds of ranges."""
+    sigma = len(count)
     up = _ranges(count)
-    n_l = int((~s_type).sum())
     lp, ll = store.new(n_l, np.int32), store.new(n_l, np.int32)
+    of_l = store.new(sigma, np.int64)
     k = 0
-    for pos, val, is_seed in _induce(t, s_type, run, up, _by_range(t[seeds], seeds, seed_lcp, up), False, folder, memory, lcps):
+    for pos, val, is_seed in _induce(t, s_type, run, up, seeds(up), False, folder, memory, lcps, store):
         p, v = pos[~is_seed], val[~is_seed]
         lp[k : k + len(p)], ll[k : k + len(p)] = p, v
         k += len(p)
+        if len(p):
+            c, m = np.unique(t[p], return_counts=True)
+            of_l[c] += m
     dn = _ranges(count[::-1])
 
     def seeds_down() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        chars = store.new(n_l, np.int32)
-        for i in range(0, n_l, 1 << 20):
-            chars[i : i + (1 << 20)] = t[lp[i : i + (1 << 20)]]
-        at = np.searchsorted(chars, sigma - dn)  # a range of mirrored characters [x, y) is [sigma - y, sigma - x)
+        at = _upto(of_l, (sigma - dn)[::-1])[::-1]  # a range of mirrored characters [x, y) is [sigma - y, sigma - x)
         for j, i in zip(at, at[1:]):
             p = np.asarray(lp[i:j])[::-1]
             # with the one before in this order: the next larger of the same character, whose value says so
             v = np.r_[np.asarray(ll[i + 1 : j])[::-1], np.int32(0)] if j > i else np.zeros(0, np.int32)
             yield p, np.r_[np.int32(0), v[:-1]] if j > i else v
 
-    for pos, val, _ in _induce(t, s_type, run, dn, seeds_down(), True, folder, memory, lcps):
+    for pos, val, _ in _induce(t, s_type, run, dn, seeds_down(), True, folder, memory, lcps, store):
         yield pos, val
 
 
@@ -299,55 +370,74 @@ def sort(text: np.ndarray, *, folder: str | None = None, memory: int = 128 << 20
     store = Store(folder, memory)
     if n <= 1:
         return
-    sigma = int(t.max()) + 1
-    s0, r0 = _types(t)
-    s_type, run = store.new(n, bool), store.new(n, np.int32)
-    s_type[:], run[:] = s0, r0
-    del s0, r0
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    lms = lms.astype(np.int32)
-    m = len(lms)
+    sigma = max(int(np.max(t[part])) for part in _blocks(n)) + 1
+    s_type, run, is_lms = store.new(n, bool), store.new(n, np.int32), store.new(n, bool)
+    n_l = _types(t, s_type, run)
+    m = 0
+    for part in _blocks(n):
+        lo = max(part.start - 1, 0)
+        x = np.asarray(s_type[lo : part.stop])
+        is_lms[lo + 1 : part.stop] = x[1:] & ~x[:-1]
+        m += int((x[1:] & ~x[:-1]).sum())
+    lms, k = store.new(m, np.int32), 0
+    for part in _blocks(n):
+        at = np.flatnonzero(is_lms[part]) + part.start
+        lms[k : k + len(at)] = at
+        k += len(at)
+    count = _counts(t, sigma, store)
     # 1. the substrings between minima, by an induction whose seeds are in order of their first character only
-    by_char = lms[np.argsort(t[lms], kind="stable")]
-    is_lms = store.new(n, bool)
-    is_lms[lms] = True
-    parts = [p[is_lms[p]] for p, _ in _passes(t, s_type, run, sigma, by_char, np.zeros(m, np.int32), folder, memory, False, store)]
-    order = np.concatenate([*parts, lms[-1:]])[::-1] if parts else lms
-    order = order.astype(np.int32)
+    order, k = store.new(m, np.int32), m
+    for p, _ in _passes(t, s_type, run, n_l, count, lambda up: _by_character(t, lms, up, folder, memory), folder, memory, False, store):
+        p = p[is_lms[p]]
+        order[k - len(p) : k] = p[::-1]  # the largest come first
+        k -= len(p)
+    order[:k] = lms[m - k :]  # the last of all, which no pass gives
     # 2. names; equal substrings have equal names
-    index = np.searchsorted(lms, order)
-    size = np.diff(np.append(lms, n - 1))[index]
-    diff = np.ones(m, bool)
-    if m > 1:
-        same_size = np.flatnonzero(size[1:] == size[:-1])
-        live, k = same_size, 0
-        equal = np.zeros(m - 1, bool)
+    small, names = store.new(m, np.int32), -1
+    before = None
+    for part in _blocks(m):
+        here = np.asarray(order[part]).astype(np.int64)
+        index = np.searchsorted(lms, here)
+        size = np.where(index + 1 < m, lms[np.minimum(index + 1, m - 1)], n - 1) - here
+        pos, length = (here, size) if before is None else (np.r_[before[0], here], np.r_[before[1], size])
+        equal = np.zeros(len(pos) - 1, bool)
+        live, j = np.flatnonzero(length[1:] == length[:-1]), 0
         while len(live):
-            done = size[1:][live] < k
+            done = length[1:][live] < j
             equal[live[done]] = True
             live = live[~done]
-            live = live[t[order[1:][live] + k] == t[order[:-1][live] + k]]
-            k += 1
-        diff[1:] = ~equal
-    name = np.cumsum(diff) - 1
-    # 3. the order of the minima's suffixes and their common prefixes
-    if int(name[-1]) + 1 < m:
-        small = np.empty(m, np.int32)
+            live = live[t[pos[1:][live] + j] == t[pos[:-1][live] + j]]
+            j += 1
+        new = ~equal if before is not None else np.r_[True, ~equal]
+        name = names + np.cumsum(new)
         small[index] = name
-        blocks = list(sort(small, folder=folder, memory=memory, lcps=lcps))
-        rank = np.concatenate([*(p for p, _ in blocks), [m - 1]])[::-1]
-        shared = np.zeros(m, np.int64)  # with the next smaller; the blocks give it with the next larger, and leave out the last
-        shared[2:] = np.concatenate([np.zeros(0, np.int32), *(v for _, v in blocks)])[::-1][: m - 2] if m > 2 else 0
-        seeds = lms[rank]
+        names, before = int(name[-1]), (here[-1:], size[-1:])
+    # 3. the order of the minima's suffixes and their common prefixes
+    seeds, lcp = store.new(m, np.int32), store.new(m, np.int32)
+    if names + 1 < m:
+        rank, shared, k = store.new(m, np.int32), store.new(m, np.int32), m
+        for p, v in sort(small, folder=folder, memory=memory, lcps=lcps):
+            rank[k - len(p) : k] = p[::-1]
+            # a block's values are with the one before, which is larger; here they are with the next smaller
+            lo, hi = k - len(p) + 1, min(k + 1, m)
+            shared[lo:hi] = v[::-1][: hi - lo]
+            k -= len(p)
+        rank[0] = m - 1
+        shared[:2] = 0
     else:
-        seeds, shared, rank = order, np.zeros(m, np.int64), index
-    lcp = np.zeros(m, np.int32)
-    if lcps and m > 1:
-        i, j = rank[:-1], rank[1:]
-        known = lms[np.minimum(i + shared[1:], m - 1)] - lms[i]
-        lcp[1:] = _equal_ahead(t, seeds[:-1].astype(np.int64), seeds[1:].astype(np.int64), known.astype(np.int64))
-    del order, index, size, name
-    yield from _passes(t, s_type, run, sigma, seeds.astype(np.int32), lcp, folder, memory, lcps, store)
+        rank, shared = store.new(m, np.int32), None
+        for part in _blocks(m):
+            rank[part] = np.searchsorted(lms, order[part])
+    for part in _blocks(m):
+        seeds[part] = lms[np.asarray(rank[part])]
+    if lcps:
+        for part in _blocks(m - 1):  # of neighbours part.start .. part.stop
+            i, j = np.asarray(rank[part]), np.asarray(rank[part.start + 1 : part.stop + 1])
+            both = np.zeros(len(i), np.int64) if shared is None else np.asarray(shared[part.start + 1 : part.stop + 1]).astype(np.int64)
+            known = lms[np.minimum(i + both, m - 1)].astype(np.int64) - lms[i]
+            lcp[part.start + 1 : part.stop + 1] = _equal_ahead(t, lms[i].astype(np.int64), lms[j].astype(np.int64), known)
+    first = _counts(lms, sigma, store, t)
+    yield from _passes(t, s_type, run, n_l, count, lambda up: _by_range(first, seeds, lcp, up), folder, memory, lcps, store)
 
 
 def dense(words: np.ndarray) -> np.ndarray:

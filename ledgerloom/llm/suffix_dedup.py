@@ -4,13 +4,14 @@
    words have the same anchor at the same place, so a window's repeats are all among the fragments (stretches of windows of
    one anchor) of that anchor, and hashing anchors to shards loses none.
 2. Fragments with equal words are one, with its least place and whether it has another. Anchors with a single occurrence hold no repeat.
-3. A shard's fragments are sorted as one text (induced_sort: queues of suffix tuples with common prefixes, in files beyond a
-   bound of memory). Neighbours that share min_words words are occurrences of one window; the least (id, place) is the original.
+3. A shard's fragments are written to files and sorted as one text (induced_sort: queues of suffix tuples with common prefixes, and all that is as long as
+   the text, in files beyond a bound of memory). Neighbours that share min_words words are occurrences of one window; the least (id, place) is the original.
 4. What a fragment has, each of its occurrences has; windows side by side join to spans.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import Window
 from . import induced_sort
 from .common import discard, materialize, mix, ragged, shared_dir, slices, table, word_hashes, words
 
-MIN_WORDS, K, SHARD_WORDS, MEMORY = 50, 16, 1_000_000, 128 << 20
+MIN_WORDS, K, SHARD_WORDS, MEMORY = 50, 16, 1_000_000, 16 << 20
+#: Words that a batch of fragments has at most.
+PIECE = 4 << 20
 _STEPS = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 _R = np.uint64(0xD1342543DE82EF95)
 _R_INV = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -115,83 +118,153 @@ def _with_words(docs: DataFrame, wanted: DataFrame, kind: str) -> DataFrame:
             fits = lo + size <= off[row + 1]
             safe_lo, safe = np.where(fits, lo, 0), np.where(fits, size, 0)
             ok = np.flatnonzero(fits & (_content(h, safe_lo, safe).view(np.int64) == c))  # else another text under the same id
-            flat = np.ascontiguousarray(h[ragged(lo[ok], size[ok])])
-            ends = np.concatenate([[0], np.cumsum(size[ok] * 8)]).astype(np.int32)
-            body = pa.Array.from_buffers(pa.binary(), len(ok), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-            pick = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([s.field("g").take(pick), s.field("c").take(pick), b.column("id").take(pa.array(row[ok])), s.field("lo").take(pick), s.field("more").take(pick), body], ["g", "c", "id", "lo", "more", "words"])
+            piece = np.cumsum(size[ok]) // PIECE  # offsets within a batch stay small, whatever a text's length
+            for part in np.split(ok, np.flatnonzero(np.diff(piece)) + 1):
+                flat = np.ascontiguousarray(h[ragged(lo[part], size[part])])
+                ends = np.concatenate([[0], np.cumsum(size[part] * 8)]).astype(np.int32)
+                body = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
+                pick = pa.array(part)
+                yield pa.RecordBatch.from_arrays([s.field("g").take(pick), s.field("c").take(pick), b.column("id").take(pa.array(row[part])), s.field("lo").take(pick), s.field("more").take(pick), body], ["g", "c", "id", "lo", "more", "words"])
 
     lists = wanted.groupBy("id").agg(F.collect_list(F.struct("g", "c", "lo", "size", "more")).alias("want"))
     return docs.join(lists, "id").select("id", "text", "want").mapInArrow(run, f"g bigint, c bigint, id {kind}, lo int, more boolean, words binary")
 
 
-def repeats(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, occurrence: np.ndarray, more: np.ndarray, min_words: int, folder: str | None, memory: int = MEMORY) -> tuple[np.ndarray, ...]:
-    """Windows of a shard's fragments that occur elsewhere: (place in text, place in text of their group's least occurrence).
+class Shard:
+    """A shard's fragments: their words in a file, mapped as the text to sort, and a few numbers for each fragment in memory."""
 
-    text: fragments one after the other, each followed by a separator; occurrence: for each place of text a rank of (id, place in its
-    document); more: for each fragment, whether its words occur again under another place.
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.store = folder, induced_sort.Store(folder, memory)
+        self.rows: list[pa.RecordBatch] = []
+        self.sizes: list[np.ndarray] = []
+        self.vocab = np.zeros(0, np.uint64)
+        self.path = os.path.join(folder, "words")
+        self.out = open(self.path, "wb")
+
+    def add(self, b: pa.RecordBatch) -> None:
+        body = b.column("words")
+        off = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64) // 8
+        h = np.frombuffer(body.buffers()[2], np.uint64)[off[0] : off[-1]]
+        h.tofile(self.out)
+        self.sizes.append(np.diff(off))
+        self.vocab = np.union1d(self.vocab, h)
+        every = pa.array(np.arange(b.num_rows))  # taken, so that nothing holds on to the batch's words
+        self.rows.append(pa.RecordBatch.from_arrays([b.column(n).take(every) for n in ("g", "c", "id", "lo", "more")], ["g", "c", "id", "lo", "more"]))
+
+    def close(self) -> None:
+        """The text: fragments one after the other, each followed by a separator, and the end."""
+        self.out.close()
+        t = pa.Table.from_batches(self.rows).combine_chunks()
+        self.rows = []
+        self.g, self.c, self.ids = (t.column(n).combine_chunks() for n in ("g", "c", "id"))
+        self.lo = t.column("lo").to_numpy().astype(np.int64)
+        self.more = t.column("more").to_numpy(zero_copy_only=False).astype(bool)
+        self.rank = pc.rank(self.ids, "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+        self.size = np.concatenate(self.sizes)
+        self.start = np.concatenate([[0], np.cumsum(self.size + 1)[:-1]])
+        self.n = int((self.size + 1).sum())
+        self.text = self.store.new(self.n + 1, np.int32)
+        words_ = np.memmap(self.path, np.uint64, "r") if self.size.sum() else np.zeros(0, np.uint64)
+        at = 0
+        for i, j in self.runs():
+            size = self.size[i:j]
+            here = int(size.sum())
+            block = np.ones(here + j - i, np.int32)
+            block[ragged(self.start[i:j] - self.start[i], size)] = np.searchsorted(self.vocab, words_[at : at + here]) + 2
+            self.text[self.start[i] : self.start[i] + len(block)] = block
+            at += here
+        self.text[self.n] = 0
+        self.vocab = None
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Runs of fragments of about BLOCK words."""
+        part = self.start // induced_sort.BLOCK
+        cut = np.flatnonzero(np.diff(part)) + 1
+        yield from zip([0, *cut.tolist()], [*cut.tolist(), len(self.start)])
+
+    def own(self, pos: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, pos, side="right") - 1
+
+    def occurrence(self, pos: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For places of the text a rank of (id, place in its document)."""
+        return (self.rank[own] << 32) + self.lo[own] + pos - self.start[own]
+
+
+def repeats(shard: Shard, min_words: int, memory: int) -> np.ndarray:
+    """For each place of the text the place of the least occurrence of its window, -1 where the window occurs nowhere else.
+
+    The sort gives the windows of a group one after the other; groups are settled as they end.
     """
-    n = len(text)
-    own = np.repeat(np.arange(len(starts)), sizes + 1)
-    left = np.repeat(starts + sizes, sizes + 1) - np.arange(n)  # words up to the separator
-    at, groups, group = [], [], 0
-    with induced_sort.scratch(folder) as where:
-        for pos, lcp in induced_sort.sort(np.append(text, np.int32(0)), folder=where if folder else None, memory=memory):
-            real = pos < n
-            pos, lcp = pos[real], lcp[real]
-            whole = left[pos] >= min_words
-            g = group + np.cumsum(~(whole & (lcp >= min_words)))
-            group = int(g[-1]) if len(g) else group
-            at.append(pos[whole])
-            groups.append(g[whole])
-    pos, g = np.concatenate(at).astype(np.int64), np.concatenate(groups)
-    if not len(pos):
-        return pos, pos
-    order = np.lexsort((occurrence[pos], g))
-    pos, g = pos[order], g[order]
-    edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    size = np.diff(np.append(edge, len(g)))
-    least = np.repeat(pos[edge], size)
-    again = np.logical_or.reduceat(more[own[pos]], edge) | (np.maximum.reduceat(occurrence[pos], edge) > np.minimum.reduceat(occurrence[pos], edge))
-    hit = np.repeat(again, size)
-    return pos[hit], least[hit]
+    least = shard.store.new(shard.n, np.int32)
+    for part in induced_sort._blocks(shard.n):
+        least[part] = -1
+    wait_pos, wait_group, waiting, group = [], [], 0, 0
+
+    def settle(pos: np.ndarray, g: np.ndarray) -> None:
+        if not len(pos):
+            return
+        own = shard.own(pos)
+        at = shard.occurrence(pos, own)
+        order = np.lexsort((at, g))
+        pos, g, at, own = pos[order], g[order], at[order], own[order]
+        edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        size = np.diff(np.append(edge, len(g)))
+        again = np.logical_or.reduceat(shard.more[own], edge) | (at[edge + size - 1] > at[edge])
+        hit = np.repeat(again, size)
+        least[pos[hit]] = np.repeat(pos[edge], size)[hit]
+
+    for pos, lcp in induced_sort.sort(shard.text, folder=shard.folder, memory=memory):
+        real = pos < shard.n
+        pos, lcp = pos[real].astype(np.int64), lcp[real]
+        own = shard.own(pos)
+        whole = shard.start[own] + shard.size[own] - pos >= min_words
+        g = group + np.cumsum(~(whole & (lcp >= min_words)))
+        group = int(g[-1]) if len(g) else group
+        wait_pos.append(pos[whole]), wait_group.append(g[whole])
+        waiting += int(whole.sum())
+        if waiting >= induced_sort.BLOCK:
+            p, g = np.concatenate(wait_pos), np.concatenate(wait_group)
+            end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            settle(p[:end], g[:end])
+            wait_pos, wait_group = [p[end:]], [g[end:]]
+            waiting = 0 if end else waiting  # a group that alone is as large is joined when it ends
+    if wait_pos:
+        settle(np.concatenate(wait_pos), np.concatenate(wait_group))
+    return least
 
 
 def _sort_shards(frags: DataFrame, kind: str, min_words: int, folder: str | None, memory: int) -> DataFrame:
     """(g, c, o1, o2, first_id, first_lo): windows o1 .. o2 of the fragment repeat; the first of them has its original at first_id, first_lo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        ids = rows.column("id").combine_chunks()
-        body = rows.column("words").combine_chunks()
-        off = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64) // 8
-        h = np.frombuffer(body.buffers()[2], np.uint64)[off[0] : off[-1]]
-        sizes = np.diff(off)
-        starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        _, codes = np.unique(h, return_inverse=True)
-        text = np.ones(int((sizes + 1).sum()), np.int32)
-        text[ragged(starts, sizes)] = codes.astype(np.int32) + 2
-        del codes, h
-        lo = rows.column("lo").to_numpy().astype(np.int64)
-        rank = pc.rank(ids, "ascending", tiebreaker="dense").to_numpy().astype(np.int64)
-        own = np.repeat(np.arange(len(starts)), sizes + 1)
-        inner = np.arange(len(text)) - starts[own]
-        pos, least = repeats(text, starts, sizes, (rank[own] << 32) + lo[own] + inner, rows.column("more").to_numpy(zero_copy_only=False), min_words, folder, memory)
-        order = np.argsort(pos)
-        pos, least = pos[order], least[order]
-        f, o, f0 = own[pos], inner[pos], own[least]
-        at0 = lo[f0] + inner[least]
-        new = np.r_[True, (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1) | (rank[f0[1:]] != rank[f0[:-1]]) | (at0[1:] != at0[:-1] + 1)] if len(pos) else np.zeros(0, bool)
-        i = np.flatnonzero(new)
-        j = np.append(i[1:], len(pos)) - 1 if len(i) else i
-        pick = pa.array(f[i])
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("g").combine_chunks().take(pick), rows.column("c").combine_chunks().take(pick), pa.array(o[i].astype(np.int32)), pa.array(o[j].astype(np.int32)), ids.take(pa.array(f0[i])), pa.array(at0[i].astype(np.int32))],
-            ["g", "c", "o1", "o2", "first_id", "first_lo"],
-        )
+        with induced_sort.scratch(folder) as where:
+            shard = Shard(where, memory)
+            for b in batches:
+                if b.num_rows:
+                    shard.add(b)
+            if not shard.rows:
+                shard.out.close()
+                return
+            shard.close()
+            least = repeats(shard, min_words, memory)
+            for i, j in shard.runs():  # no span crosses a fragment's end
+                base = int(shard.start[i])
+                part = np.asarray(least[base : int(shard.start[j - 1] + shard.size[j - 1])])
+                pos = np.flatnonzero(part >= 0)
+                if not len(pos):
+                    continue
+                first = part[pos].astype(np.int64)
+                pos = pos + base
+                f, f0 = shard.own(pos), shard.own(first)
+                o, at0 = pos - shard.start[f], shard.lo[f0] + first - shard.start[f0]
+                new = np.r_[True, (f[1:] != f[:-1]) | (o[1:] != o[:-1] + 1) | (shard.rank[f0[1:]] != shard.rank[f0[:-1]]) | (at0[1:] != at0[:-1] + 1)]
+                a = np.flatnonzero(new)
+                z = np.append(a[1:], len(pos)) - 1
+                pick = pa.array(f[a])
+                yield pa.RecordBatch.from_arrays(
+                    [shard.g.take(pick), shard.c.take(pick), pa.array(o[a].astype(np.int32)), pa.array(o[z].astype(np.int32)), shard.ids.take(pa.array(f0[a])), pa.array(at0[a].astype(np.int32))],
+                    ["g", "c", "o1", "o2", "first_id", "first_lo"],
+                )
 
     return frags.mapInArrow(run, f"g bigint, c bigint, o1 int, o2 int, first_id {kind}, first_lo int")
 

@@ -19,6 +19,7 @@ def common(a, b):
 def test_sort_with_spills(seed, monkeypatch):
     rng = np.random.default_rng(seed)
     monkeypatch.setattr(induced_sort, "RANGE", int(rng.integers(2, 40)))
+    monkeypatch.setattr(induced_sort, "BLOCK", int(rng.integers(2, 60)))
     text = induced_sort.dense(rng.integers(0, rng.integers(1, 7), int(rng.integers(1, 150))))
     with tempfile.TemporaryDirectory() as folder:
         blocks = list(induced_sort.sort(text, folder=folder, memory=64))
@@ -29,6 +30,40 @@ def test_sort_with_spills(seed, monkeypatch):
     assert lcp[1:].tolist() == [common(t[a:], t[b:]) for a, b in zip(pos, pos[1:])]
 
 
+def test_memory_is_bounded_whatever_the_shard(tmp_path, monkeypatch):
+    """A shard of some 3 million words, 12 times the bound for it, whose arrays would take hundreds of MB; files hold them, and are gone afterwards."""
+    import os
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(induced_sort, "BLOCK", 1 << 15)
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 63, 5000, dtype=np.uint64)
+    n, size, passage = 40_000, 75, base[rng.integers(0, 5000, 75)]
+
+    def batches():
+        for i in range(0, n, 2000):
+            w = base[rng.integers(0, 5000, (2000, size))]
+            w[::500] = passage  # the same in fragments that are far apart
+            yield pa.record_batch([pa.array(np.full(2000, 1)), pa.array(np.arange(i, i + 2000)), pa.array(np.arange(i, i + 2000)), pa.array(np.zeros(2000, np.int32)), pa.array(np.zeros(2000, bool)), pa.array([x.tobytes() for x in w], pa.binary())], ["g", "c", "id", "lo", "more", "words"])
+
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    memory, spilled = 1 << 20, induced_sort._induce.spilled
+    run = suffix_dedup._sort_shards(Frame(), "bigint", 50, str(tmp_path), memory)
+    made = list(batches())
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(run(iter(made)))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r["c"] for r in out} == set(range(0, n, 500)) and all((r["o1"], r["o2"], r["first_id"]) == (0, 25, 0) for r in out)
+    assert 4 * n * (size + 1) > 8 * memory and peak < 24 << 20, peak
+    assert induced_sort._induce.spilled > spilled and os.listdir(tmp_path) == []
+
+
 def brute(rows, n):
     seen, spans = defaultdict(set), defaultdict(set)
     for i, t in rows:
