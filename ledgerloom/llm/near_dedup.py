@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components, cut, drop_cut
@@ -217,14 +217,9 @@ def _second(live: DataFrame, first: DataFrame, sigs: DataFrame, edges: DataFrame
 
 
 def _largest(parts: DataFrame) -> DataFrame:
-    """(key, lc, a): the leaders of LEADERS components of each key, by rounds of maxima, so that no key's components are held together."""
-    out, rest = None, parts
-    for _ in range(LEADERS):
-        top = rest.groupBy("key").agg(F.max(F.struct("n", "a", "c")).alias("t"))
-        pick = top.select("key", F.col("t.c").alias("lc"), "t.a")
-        out = pick if out is None else out.unionByName(pick)
-        rest = rest.join(pick.select("key", F.col("lc").alias("c")), ["key", "c"], "left_anti")
-    return out
+    """(key, lc, a): the leaders of LEADERS components of each key. Spark cuts each key's ranks off before its rows are shuffled, so no task holds all of a key."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.desc("a"), F.desc("c")))
+    return parts.withColumn("rank", rank).filter(F.col("rank") <= LEADERS).select("key", F.col("c").alias("lc"), "a")
 
 
 def _blocks(open_: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
