@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, row by row; a null text has null ids, an empty one none. Whether they decode is left to op10 and its tests."""
-    return sentencepiece_fst.encode(docs, check=False)
+    """Token ids of each document, row by row; a null text has null ids, an empty one none. All are decoded again; decodes says whether they give the normalised text."""
+    return sentencepiece_fst.encode(docs)
 
 
 STAGES = [

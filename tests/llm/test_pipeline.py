@@ -51,3 +51,16 @@ def test_stages_of_odd_and_of_no_rows(spark, tmp_path):
             if k == 0 and name in ("toxicity", "near_dedup", "suffix_dedup"):
                 assert {None, 1, 3, 4, 5, 9} <= ids
         assert (docs.count() == 0) == (k == 1)
+
+
+def test_last_stage_decodes_what_it_encodes(spark, tmp_path):
+    """As op10 does: every text's ids are decoded and compared, only a null text has nothing to compare."""
+    from util import empty, messy
+
+    for docs in (messy(spark), empty(spark)):
+        got = corpus_pipeline.encode(spark, docs, str(tmp_path))
+        want = sentencepiece_fst.encode(docs)
+        assert got.schema == want.schema
+        rows = lambda df: sorted((str(r.doc_id), str(r.ids), str(r.n_tokens), str(r.decodes)) for r in df.collect())
+        assert rows(got) == rows(want)
+        assert all(r.decodes is (None if r.ids is None else True) for r in got.collect())
