@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 shared_dir, materialize, discard = checkpoint_root, cut, drop_cut
 
 
+def give_back() -> None:
+    """Free memory to the system: that of Arrow's pool, and with glibc that of the heap, which else stay with this process until it ends."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library
+
+
 def as_string(col: pa.Array) -> pa.StringArray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import Words, slices, table, uniform, words
+from .common import Words, give_back, slices, table, uniform, words
 
 LO, HI, BUCKETS, DIM = 3, 6, 1 << 18, 8
 PRIOR = 1000.0
@@ -57,8 +57,9 @@ class Model:
         return np.where(n > 0, p, 0.0)
 
 
-def _bags(texts: list[str], min_df: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's distinct n-grams that min_df texts hold, and their shares. Runs of texts are read twice, so that little is held at once."""
+def _bags(texts: list[str], min_df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams that min_df texts hold, and their shares, text by text, and each text's place in both. Runs of texts are read twice, so that little
+    is held at once; what is held are two arrays whose memory goes back to the system with them, which that of an array for each text doesn't."""
 
     def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(texts), 100):
@@ -78,7 +79,13 @@ def _bags(texts: list[str], min_df: int) -> list[tuple[np.ndarray, np.ndarray]]:
     for k, _ in runs():
         df[k] += 1
     known = df >= min_df
-    return [(k[known[k]].astype(np.int32), v[known[k]].astype(np.float32)) for k, v in runs()]
+    size = int(df[known].sum())
+    ids, shares, off = np.empty(size, np.int32), np.empty(size, np.float32), np.zeros(len(texts) + 1, np.int64)
+    for r, (k, v) in enumerate(runs()):
+        ok = known[k]
+        off[r + 1] = off[r] + np.count_nonzero(ok)
+        ids[off[r] : off[r + 1]], shares[off[r] : off[r + 1]] = k[ok], v[ok]
+    return ids, shares, off
 
 
 def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int = 32, rate: float = 2.0, min_df: int = 10, ratio: float = 1.0, seed: int = 7) -> Model:
@@ -88,13 +95,12 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
         return Model(np.zeros(BUCKETS), -50.0, 0.5)
     rng = np.random.default_rng(seed)
     # an n-gram of few training texts would only memorise them; its vector stays zero
-    bags = _bags(texts, min(min_df, max(2, len(y) // 100)))
+    grams, shares, off = _bags(texts, min(min_df, max(2, len(y) // 100)))
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
     seen = np.zeros((BUCKETS, 1), np.float32)
-    for k, _ in bags:
-        seen[k] = 1
+    seen[grams] = 1
     emb *= seen
     out, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full(out.shape, 1e-3, np.float32), np.full(2, 1e-3, np.float32)
@@ -102,12 +108,12 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
     weight = (0.5 / np.maximum(share, 1e-9)).astype(np.float32)
     for _ in range(epochs):
         for i in range(0, len(fit), batch):
-            rows = [r for r in rng.permuted(fit[i : i + batch]) if len(bags[r][0])]
+            rows = [r for r in rng.permuted(fit[i : i + batch]) if off[r] < off[r + 1]]
             if not rows:
                 continue
-            ids, val = np.concatenate([bags[r][0] for r in rows]), np.concatenate([bags[r][1] for r in rows])
-            start = np.cumsum([0] + [len(bags[r][0]) for r in rows[:-1]])
-            own = np.repeat(np.arange(len(rows)), [len(bags[r][0]) for r in rows])
+            ids, val = (np.concatenate([x[off[r] : off[r + 1]] for r in rows]) for x in (grams, shares))
+            start = np.cumsum([0] + [off[r + 1] - off[r] for r in rows[:-1]])
+            own = np.repeat(np.arange(len(rows)), [off[r + 1] - off[r] for r in rows])
             hid = np.add.reduceat(emb[ids] * val[:, None], start)
             z = hid @ out + bias
             z -= z.max(1, keepdims=True)
@@ -150,7 +156,7 @@ def train(texts: list[str], labels: np.ndarray, *, epochs: int = 8, batch: int =
 def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 2500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **kw) -> Model:
     """Train on at most max_train labelled texts of each class, those whose ids have the least hash; each text is whole.
 
-    Rows with a null id, text or label don't count; of an id that is labelled more than once, the highest label does.
+    Rows with a null id, text or label don't count; of an id that is labelled more than once, the highest label does. The driver keeps nothing of it but the model.
     """
     lab = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     size = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -162,7 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_train: int = 2500, id_col: st
         some = part if some is None else some.unionByName(part)
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna().join(F.broadcast(some), "id")
     rows = picked.select("id", "text", "y").toPandas().drop_duplicates("id").sort_values("id")
-    return train(rows["text"].tolist(), rows["y"].to_numpy(), ratio=ratio, **kw)
+    texts, y = rows["text"].tolist(), rows["y"].to_numpy()
+    del rows
+    model = train(texts, y, ratio=ratio, **kw)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
